@@ -18,12 +18,47 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), window=200, with_text=False).withColumnRenamed("id", "doc_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import blocks, warc
+
+    path = blocks.shared_path(spark, "warc")
+    warc.write_captures(_read(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
+    capture = warc.transactions(warc.read_records(spark, path, with_payload=False))
+    page = F.map_from_entries(F.col("metadata")[0]["fields"])["page-id"]
+    capture = capture.select(F.when(page != "", page).cast("long").alias("page_id"), "response.*")
+    known = capture.filter("record_type = 'response'").groupBy(F.col("record_id").alias("of")).agg(F.max("page_id").alias("refers_page"))
+    resolved = capture.join(known, F.col("refers_to") == F.col("of"), "left")
+    return resolved.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048).withColumnRenamed("id", "doc_id")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_groups
+
+    return embedding_groups(_read(spark, sf_dir, "embeddings"), cosine=0.95).withColumnRenamed("id", "vec_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
     return simhash_groups(_read(spark, sf_dir, "documents"), shingle=4, distance=4).withColumnRenamed("id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    scored = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").filter(fold != 1), threshold=0.7).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -36,11 +71,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10, with_text=False).withColumnRenamed("id", "doc_id")
 
 
+def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ring import ring_shards
+
+    placed = ring_shards(_read(spark, sf_dir, "documents"), shards=8).withColumnRenamed("id", "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_ring": op10_ring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
