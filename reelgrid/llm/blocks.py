@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,8 +95,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
 BLOCKS = "block long, n_rows long, n_bytes long, payload binary"
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in blocks, a table of the shared folder: columns `id` (as it is) and `text` (UTF-8, null as empty)."""
+def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, more: list[Column] = ()) -> DataFrame:
+    """The documents in blocks, a table of the shared folder: columns `id` (as it is), `text` (UTF-8, null as empty) and `more`."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -106,7 +106,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
                 [pa.array([part << 32 | k]), pa.array([table.num_rows]), pa.array([size]), pa.array([to_bytes(table)], pa.binary())], ["block", "n_rows", "n_bytes", "payload"]
             )
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *more)
     return kept(slim.mapInArrow(bundle, BLOCKS), "blocks")
 
 

@@ -45,6 +45,13 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_read(spark, sf_dir, "embeddings"), cosine=0.95).withColumnRenamed("id", "vec_id")
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import ppm_scores
+
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return ppm_scores(_read(spark, sf_dir, "documents"), train).withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_ppm": op5_ppm,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
