@@ -121,13 +121,12 @@ def rnk_score(t: Tables) -> DataFrame:
     return scored(t.detections).select("frame", "idx", q6(F.col("score")).alias("score_q"))
 
 
-RANK = Window.partitionBy("frame").orderBy(F.desc("score_r"), "idx")
 RANKED = SCORED + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY floor(score * 1e9 + 0.5) DESC, idx) AS rk FROM scored)\n"
 
 
 def ranked(d: DataFrame) -> DataFrame:
     """Rank within the frame; equal scores keep the order of rows."""
-    return scored(d).withColumn("score_r", F.floor(F.col("score") * 1e9 + 0.5)).withColumn("rk", F.row_number().over(RANK))
+    return scored(d).withColumn("score_r", F.floor(F.col("score") * 1e9 + 0.5)).withColumn("rk", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score_r"), "idx")))
 
 
 @query("rnk_stable_sort", RANKED + "SELECT frame, idx, rk FROM ranked")

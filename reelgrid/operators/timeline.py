@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import q6
 from ..plans.catalog import FRAMES, SEGMENTS, Tables, query
 
-PER_VIDEO = Window.partitionBy("video").orderBy("frame")
-PER_SCENE = Window.partitionBy("video", "scene").orderBy("frame")
+
+def per_video() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("frame")
+
+
+def per_scene() -> WindowSpec:
+    return Window.partitionBy("video", "scene").orderBy("frame")
+
 
 
 @query("src_frames_cv", FRAMES + "SELECT video, frame, event_id FROM frames")
@@ -82,7 +88,7 @@ def agg_segment_query(t: Tables) -> DataFrame:
 
 def detection_gaps(frames: DataFrame) -> DataFrame:
     """Frames since the last real detection of the scene, for each detection that has one before it."""
-    before = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(PER_SCENE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(per_scene().rowsBetween(Window.unboundedPreceding, -1))
     return frames.withColumn("before", before).filter("detected AND before IS NOT NULL").withColumn("gap", F.col("frame") - F.col("before"))
 
 
@@ -119,24 +125,24 @@ def agg_rate(t: Tables) -> DataFrame:
 
 @query("win_prev_frame_delta", FRAMES + "SELECT video, frame, CAST(floor(abs(value - lag(value) OVER (PARTITION BY video ORDER BY frame)) * 1e6 + 0.5) AS BIGINT) AS delta_q FROM frames")
 def win_prev_frame_delta(t: Tables) -> DataFrame:
-    return t.frames.select("video", "frame", q6(F.abs(F.col("value") - F.lag("value").over(PER_VIDEO))).alias("delta_q"))
+    return t.frames.select("video", "frame", q6(F.abs(F.col("value") - F.lag("value").over(per_video()))).alias("delta_q"))
 
 
 @query("win_ring16", FRAMES + "SELECT video, frame, count(*) OVER w AS held, CASE WHEN count(*) OVER w = 16 THEN CAST(floor(max(value) OVER w * 1e6 + 0.5) AS BIGINT) END AS top_q FROM frames WINDOW w AS (PARTITION BY video, scene ORDER BY frame ROWS 15 PRECEDING)")
 def win_ring16(t: Tables) -> DataFrame:
-    ring = PER_SCENE.rowsBetween(-15, 0)
+    ring = per_scene().rowsBetween(-15, 0)
     held = F.count("*").over(ring)
     return t.frames.select("video", "frame", held.alias("held"), F.when(held == 16, q6(F.max("value").over(ring))).alias("top_q"))
 
 
 @query("win_motion_range", FRAMES + "SELECT video, frame, count(*) OVER (PARTITION BY video, scene ORDER BY frame RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS held FROM frames")
 def win_motion_range(t: Tables) -> DataFrame:
-    return t.frames.select("video", "frame", F.count("*").over(PER_SCENE.rangeBetween(-12, 0)).alias("held"))
+    return t.frames.select("video", "frame", F.count("*").over(per_scene().rangeBetween(-12, 0)).alias("held"))
 
 
 def run_lengths(frames: DataFrame, flag: str) -> DataFrame:
     """How many frames in a row, up to this one, the flag has held within the video; 0 where it does not."""
-    island = F.sum((~F.col(flag)).cast("long")).over(PER_VIDEO)
+    island = F.sum((~F.col(flag)).cast("long")).over(per_video())
     marked = frames.withColumn("island", island)
     return marked.withColumn("run", F.sum(F.col(flag).cast("long")).over(Window.partitionBy("video", "island").orderBy("frame")))
 
@@ -167,12 +173,12 @@ def win_stable_duration(t: Tables) -> DataFrame:
 
 @query("win_switch_count", FRAMES + "SELECT video, count_if(event_type <> before) AS switches FROM (SELECT video, event_type, lag(event_type) OVER (PARTITION BY video ORDER BY frame) AS before FROM frames) GROUP BY video")
 def win_switch_count(t: Tables) -> DataFrame:
-    return t.frames.withColumn("before", F.lag("event_type").over(PER_VIDEO)).groupBy("video").agg(F.count_if(F.col("event_type") != F.col("before")).alias("switches"))
+    return t.frames.withColumn("before", F.lag("event_type").over(per_video())).groupBy("video").agg(F.count_if(F.col("event_type") != F.col("before")).alias("switches"))
 
 
 @query("win_fixed_interval", FRAMES + "SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTITION BY video, scene ORDER BY frame) AS k FROM frames) WHERE (k - 1) % 5 = 0")
 def win_fixed_interval(t: Tables) -> DataFrame:
-    return t.frames.withColumn("k", F.row_number().over(PER_SCENE)).filter("(k - 1) % 5 = 0").select("video", "frame")
+    return t.frames.withColumn("k", F.row_number().over(per_scene())).filter("(k - 1) % 5 = 0").select("video", "frame")
 
 
 COUNTERS = FRAMES + ", kinds AS (SELECT DISTINCT event_type AS key FROM frames), counters AS (SELECT video, frame, segment_no, key, CAST(sum(CASE WHEN event_type = key THEN 1 ELSE 0 END) OVER (PARTITION BY video, key ORDER BY frame) AS BIGINT) AS total FROM (SELECT *, scene * 1000 + win AS segment_no FROM frames) CROSS JOIN kinds)\n"
@@ -220,14 +226,14 @@ def snk_progress(t: Tables) -> DataFrame:
 @query("agg_timing_phases", FRAMES + "SELECT video, event_type AS phase, CAST(floor(sum(nxt - ts_s) * 1e6 + 0.5) AS BIGINT) AS seconds_q FROM (SELECT *, lead(ts_s) OVER (PARTITION BY video ORDER BY frame) AS nxt FROM frames) WHERE nxt IS NOT NULL GROUP BY video, phase")
 def agg_timing_phases(t: Tables) -> DataFrame:
     """Seconds from each switch of phase to the next, summed by phase."""
-    spans = t.frames.withColumn("nxt", F.lead("ts_s").over(PER_VIDEO)).filter("nxt IS NOT NULL")
+    spans = t.frames.withColumn("nxt", F.lead("ts_s").over(per_video())).filter("nxt IS NOT NULL")
     return spans.groupBy("video", F.col("event_type").alias("phase")).agg(q6(F.sum(F.col("nxt") - F.col("ts_s"))).alias("seconds_q"))
 
 
 @query("agg_age_bins", SEGMENTS + "SELECT CASE WHEN age <= 1e-9 THEN '0' WHEN age <= 0.05 + 1e-9 THEN '0-.05' WHEN age <= 0.1 + 1e-9 THEN '.05-.1' ELSE 'over_.1' END AS bin, count(*) AS n FROM (SELECT (CASE WHEN detected THEN 0 ELSE frame - before END) / 30.0 AS age FROM runs WHERE detected OR before IS NOT NULL) GROUP BY bin")
 def agg_age_bins(t: Tables) -> DataFrame:
     """How old each frame's last real measurement is."""
-    last = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(PER_SCENE)
+    last = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(per_scene())
     aged = t.frames.select(((F.col("frame") - last) / 30.0).alias("age")).filter("age IS NOT NULL")
     return aged.groupBy(_age_bin(F.col("age")).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -239,12 +245,12 @@ def _age_bin(age: Column) -> Column:
 
 @query("agg_cache_age_bins", SEGMENTS + "SELECT CAST(least(4, floor(((frame - before) / 30.0 + 1e-9) * 10)) AS BIGINT) AS bin, count(*) AS n FROM runs WHERE before IS NOT NULL GROUP BY bin")
 def agg_cache_age_bins(t: Tables) -> DataFrame:
-    before = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(PER_SCENE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(per_scene().rowsBetween(Window.unboundedPreceding, -1))
     aged = t.frames.select(((F.col("frame") - before) / 30.0).alias("age")).filter("age IS NOT NULL")
     return aged.groupBy(F.least(F.lit(4), F.floor((F.col("age") + 1e-9) * 10)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("jn_measurement_asof", SEGMENTS + "SELECT video, frame, CASE WHEN detected THEN frame ELSE before END AS measured FROM runs")
 def jn_measurement_asof(t: Tables) -> DataFrame:
-    last = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(PER_SCENE)
+    last = F.last(F.when(F.col("detected"), F.col("frame")), ignorenulls=True).over(per_scene())
     return t.frames.select("video", "frame", last.alias("measured"))
