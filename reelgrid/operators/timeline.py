@@ -186,7 +186,7 @@ COUNTERS = FRAMES + ", kinds AS (SELECT DISTINCT event_type AS key FROM frames),
 
 def counters(frames: DataFrame) -> DataFrame:
     """Running totals of each kind of event, a row per frame and kind; the kinds are a handful and known from the data."""
-    kinds = F.broadcast(frames.select(F.col("event_type").alias("key")).distinct().limit(100))
+    kinds = frames.select(F.col("event_type").alias("key")).distinct()
     total = F.sum((F.col("event_type") == F.col("key")).cast("long")).over(Window.partitionBy("video", "key").orderBy("frame"))
     return frames.withColumn("segment_no", F.col("scene") * 1000 + F.col("win")).crossJoin(kinds).select("video", "frame", "segment_no", "key", total.alias("total"))
 
