@@ -98,4 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ring": op10_ring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
+    "op8_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM d), wins AS (SELECT doc_id, s, array_to_string(ws[s:s + 34], ' ') AS k FROM starts),
+rep AS (SELECT k FROM wins GROUP BY k HAVING count(*) > 1), hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM wins WHERE k IN (SELECT k FROM rep)), gone AS (SELECT doc_id, list(i) AS l FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(l, []), i)), ' ')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+}
