@@ -49,33 +49,32 @@ def _low(order: int) -> np.uint64:
     return np.uint64((1 << BITS * (order + 1)) - 1)
 
 
-def _strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every predicted symbol: its last ORDER symbols and itself as one number; the text it is of."""
-    lengths = np.diff(bounds)
-    each = lengths + ORDER + 1
+def _strings(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every predicted symbol with the last ORDER symbols before it as one number, a piece of the texts at a time, so that
+    only bytes are held of a whole block: the distinct numbers, for each place which of them is there, and its text."""
+    each = np.diff(bounds) + ORDER + 1
     ends = np.cumsum(each)
-    stream = np.full(int(ends[-1]) if len(ends) else 0, BEGIN, np.uint64)
-    place = np.arange(len(data)) + np.repeat(ends - each + ORDER - bounds[:-1], lengths)
-    stream[place] = FOLD[data]
+    size = int(ends[-1]) if len(ends) else 0
+    stream, inside = np.full(size, BEGIN, np.uint8), np.ones(size, bool)
+    for k in range(ORDER):
+        inside[ends - each + k] = False
+    inside[ends - 1] = False
+    stream[inside] = FOLD[data]
     stream[ends - 1] = END
-    key = np.zeros(max(0, len(stream) - ORDER), np.uint64)
-    for k in range(ORDER + 1):
-        key = key << np.uint64(BITS) | stream[k : k + len(key)]
-    text = np.repeat(np.arange(len(lengths)), each)[ORDER:]
-    real = stream[ORDER:] != BEGIN
-    return key[real], text[real]
-
-
-def _grouped(key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Pieces of key: where one starts, its distinct values, and for each place the number of its value."""
-    for at in range(0, len(key), _PIECE):
-        part = key[at : at + _PIECE]
-        merged = np.sort(part << np.uint64(_INDEX) | np.arange(len(part), dtype=np.uint64))
+    del inside
+    for at in range(0, size - ORDER, _PIECE):
+        part = stream[at : at + _PIECE + ORDER].astype(np.uint64)
+        key = np.zeros(len(part) - ORDER, np.uint64)
+        for k in range(ORDER + 1):
+            key = key << np.uint64(BITS) | part[k : k + len(key)]
+        real = np.flatnonzero(part[ORDER:] != BEGIN)
+        key, text = key[real], np.searchsorted(ends, real + at + ORDER, "right")
+        merged = np.sort(key << np.uint64(_INDEX) | np.arange(len(key), dtype=np.uint64))
         value, index = merged >> np.uint64(_INDEX), (merged & np.uint64(_PIECE - 1)).astype(np.int64)
         new = np.concatenate([[True], value[1:] != value[:-1]])
-        which = np.empty(len(part), np.int64)
+        which = np.empty(len(key), np.int64)
         which[index] = np.cumsum(new) - 1
-        yield at, value[new], which
+        yield value[new], which, text
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +124,7 @@ class _Text:
         self.data, self.bounds = B.flat(self.table.column("text"))
         self.train = self.table.column("train").to_numpy()
 
-    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         return _strings(self.data, self.bounds)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +137,10 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
     for batch in batches:
         for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
             text = _Text(payload.as_py())
-            key, of = text.strings()
             keys, counts = [], []
-            for at, value, which in _grouped(key):
+            for value, which, of in text.strings():
                 keys.append(value)
-                counts.append(np.bincount(which, text.train[of[at : at + len(which)]], len(value)).astype(np.int64))
+                counts.append(np.bincount(which, text.train[of], len(value)).astype(np.int64))
             rows = []
             if keys:
                 value, n = _summed(np.concatenate(keys), np.concatenate(counts))
@@ -258,10 +256,9 @@ def _score(own: pa.Table, told: pa.Table, ends: int, total: int, different: int)
         return key[order], value[order]
 
     known, value = answers(GRAM, np.float64)
-    key, of = text.strings()
     score = np.zeros(docs)
-    for at, distinct, which in _grouped(key):
-        score += np.bincount(of[at : at + len(which)], value[np.searchsorted(known, distinct)][which], docs)
+    for distinct, which, of in text.strings():
+        score += np.bincount(of, value[np.searchsorted(known, distinct)][which], docs)
     known, count = answers(TOKEN, np.int64)
     code, of = text.tokens()
     c = count[np.searchsorted(known, code)] if len(code) else np.zeros(0, np.int64)
