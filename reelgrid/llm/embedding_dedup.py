@@ -129,7 +129,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     column = [F.size("v").alias("dims"), "node", "v", "copies"]
     index = distinct.select(of.alias("shard"), F.lit(0).alias("query"), *column)
     asked = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), *column)
-    dealt = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("dims", "shard", "query")
+    dealt = index.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dims", "shard", "query")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, shard = None, [], None
