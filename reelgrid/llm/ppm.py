@@ -96,17 +96,29 @@ def _unpack(data: bytes, size: int) -> np.ndarray:
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
+    """Compressed behind their number; counts with all first bytes together, then all second ones: most are zeros."""
+    raw = values.view(np.uint8).reshape(len(values), -1).T if values.dtype == np.int64 else values
+    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), "zstd", asbytes=True)
+
+
+def _size(data: bytes) -> int:
+    return int.from_bytes(data[:8], "little")
 
 
 def _loosen(data: bytes, kind: type) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+    size = _size(data)
+    raw = pa.decompress(data[8:], size * np.dtype(kind).itemsize, "zstd", asbytes=True)
+    if kind is np.int64:
+        raw = np.frombuffer(raw, np.uint8).reshape(-1, size).T.tobytes() if size else b""
+    return np.frombuffer(raw, kind)
+
+
+def _keys(table: pa.Table) -> list[np.ndarray]:
+    return [_unpack(k, _size(n)) for k, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
 
 
 def _open(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    n = [_loosen(x, np.int64) for x in table.column("n").to_pylist()]
-    return [_unpack(k, len(v)) for k, v in zip(table.column("keys").to_pylist(), n, strict=True)], n
+    return _keys(table), [_loosen(x, np.int64) for x in table.column("n").to_pylist()]
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
@@ -234,7 +246,7 @@ def _answer(asked: pa.Table, model: pa.Table, pairs: np.ndarray) -> pa.Table:
     kind = asked.column("kind")[0].as_py()
     keys, n = _open(model)
     value, count = (keys[0], n[0]) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    wanted, _ = _open(asked)
+    wanted = _keys(asked)
     distinct, at = np.unique(np.concatenate(wanted), return_inverse=True)
     told = _Model(value, count, pairs).log10(distinct) if kind == GRAM else _count(value, count, distinct)
     edges = np.cumsum([len(w) for w in wanted])[:-1]
@@ -319,6 +331,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     total, different = words + ends, different + (ends > 0)
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((-(-blocks // FAN) or 1) - 1).cast("long")))
     copies = model.select("kind", "bucket", salts.alias("salt"), "block", "keys", "n")
-    told = asked.groupBy("kind", "bucket", "salt").cogroup(copies.groupBy("kind", "bucket", "salt")).applyInArrow(lambda a, m: _answer(a, m, pairs), TOLD)
+    questions = asked.withColumn("n", F.substring("n", 1, 8))  # their number alone; counts stay behind
+    told = questions.groupBy("kind", "bucket", "salt").cogroup(copies.groupBy("kind", "bucket", "salt")).applyInArrow(lambda a, m: _answer(a, m, pairs), TOLD)
     schema = f"id {B.id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.select("block", "payload").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda o, t: _score(o, t, ends, total, different), schema)
