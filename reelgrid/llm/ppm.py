@@ -5,7 +5,7 @@ children are neighbours.  It is dealt out by the two symbols before the
 predicted one, so each bucket holds all longer contexts with that ending, and
 two small tables of fixed size serve what is shorter.  Blocks of documents
 (blocks.py) hand in their counts and the strings whose probabilities they need,
-and get these back, so the model may grow with the corpus and is never
+and get these back in the order of the question, so the model may grow with the corpus and is never
 broadcast.  Counts meet level by level, a fixed number of blocks at a time.
 
 Escapes are estimated by the number of different symbols met in a context, half
@@ -42,7 +42,7 @@ FAN = 64
 
 GRAM, TOKEN = 0, 1
 ASK = "kind int, bucket long, block long, keys binary, n binary"
-TOLD = "kind int, block long, keys binary, value binary"
+TOLD = "kind int, bucket long, block long, value binary"
 
 
 def _low(order: int) -> np.uint64:
@@ -156,15 +156,20 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
             rows = []
             if keys:
                 value, n = _summed(np.concatenate(keys), np.concatenate(counts))
-                rows += _dealt(GRAM, block, value, n, winnow.mix(value >> np.uint64(BITS) & _low(1)), buckets)
+                rows += _dealt(GRAM, block, value, n, buckets)
             code, of = text.tokens()
             value, n = _summed(code, text.train[of].astype(np.int64))
-            rows += _dealt(TOKEN, block, value, n, winnow.mix(value), buckets)
+            rows += _dealt(TOKEN, block, value, n, buckets)
             yield from _rows(ASK, rows).combine_chunks().to_batches()
 
 
-def _dealt(kind: int, block: int, value: np.ndarray, n: np.ndarray, spread: np.ndarray, buckets: int) -> list[tuple]:
-    bucket = (spread % np.uint64(buckets)).astype(np.int64)
+def _bucket(kind: int, value: np.ndarray, buckets: int) -> np.ndarray:
+    spread = winnow.mix(value >> np.uint64(BITS) & _low(1) if kind == GRAM else value)
+    return (spread % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(kind: int, block: int, value: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    bucket = _bucket(kind, value, buckets)
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
     return [(kind, b, block, _pack(value[i]), _squeeze(n[i])) for b, i in zip(found.tolist(), np.split(order, at[1:]), strict=True)] if len(value) else []
@@ -250,30 +255,32 @@ def _answer(asked: pa.Table, model: pa.Table, pairs: np.ndarray) -> pa.Table:
     distinct, at = np.unique(np.concatenate(wanted), return_inverse=True)
     told = _Model(value, count, pairs).log10(distinct) if kind == GRAM else _count(value, count, distinct)
     edges = np.cumsum([len(w) for w in wanted])[:-1]
-    packed = asked.column("keys").to_pylist()
-    return _rows(TOLD, [(kind, b, k, _squeeze(told[i])) for b, k, i in zip(asked.column("block").to_pylist(), packed, np.split(at, edges), strict=True)])
+    bucket = asked.column("bucket")[0].as_py()
+    return _rows(TOLD, [(kind, bucket, b, _squeeze(told[i])) for b, i in zip(asked.column("block").to_pylist(), np.split(at, edges), strict=True)])
 
 
-def _score(own: pa.Table, told: pa.Table, ends: int, total: int, different: int) -> pa.Table:
+def _score(own: pa.Table, told: pa.Table, buckets: int, ends: int, total: int, different: int) -> pa.Table:
     text = _Text(own.column("payload")[0].as_py())
     docs = len(text.bounds) - 1
 
-    def answers(kind: int, of: type) -> tuple[np.ndarray, np.ndarray]:
-        rows = [(k, v) for what, k, v in zip(told.column("kind").to_pylist(), told.column("keys").to_pylist(), told.column("value").to_pylist(), strict=True) if what == kind]
-        value = [_loosen(v, of) for _, v in rows]
-        if not rows:
-            return np.zeros(0, np.uint64), np.zeros(0, of)
-        key, value = np.concatenate([_unpack(k, len(v)) for (k, _), v in zip(rows, value, strict=True)]), np.concatenate(value)
-        order = np.argsort(key)
-        return key[order], value[order]
+    def answers(kind: int, of: type, keys: np.ndarray) -> np.ndarray:
+        """What is told of the block's keys (distinct, sorted); answers keep the order in which a bucket was asked."""
+        rows = {b: v for what, b, v in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("value").to_pylist(), strict=True) if what == kind}
+        out = np.empty(len(keys), of)
+        if rows:
+            out[np.argsort(_bucket(kind, keys, buckets), kind="stable")] = np.concatenate([_loosen(rows[b], of) for b in sorted(rows)])
+        return out
 
-    known, value = answers(GRAM, np.float64)
+    known = np.zeros(0, np.uint64)
+    for distinct, _, _ in text.strings():
+        known = np.union1d(known, distinct)
+    value = answers(GRAM, np.float64, known)
     score = np.zeros(docs)
     for distinct, which, of in text.strings():
         score += np.bincount(of, value[np.searchsorted(known, distinct)][which], docs)
-    known, count = answers(TOKEN, np.int64)
     code, of = text.tokens()
-    c = count[np.searchsorted(known, code)] if len(code) else np.zeros(0, np.int64)
+    known, at = np.unique(code, return_inverse=True)
+    c = answers(TOKEN, np.int64, known)[at]
     scale = total + 0.5 * (different + 1)
     base = np.bincount(of, np.log10((c + 0.5) / scale), docs) + np.log10((ends + 0.5) / scale)
     return pa.table(
@@ -334,4 +341,4 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     questions = asked.withColumn("n", F.substring("n", 1, 8))  # their number alone; counts stay behind
     told = questions.groupBy("kind", "bucket", "salt").cogroup(copies.groupBy("kind", "bucket", "salt")).applyInArrow(lambda a, m: _answer(a, m, pairs), TOLD)
     schema = f"id {B.id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.select("block", "payload").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda o, t: _score(o, t, ends, total, different), schema)
+    return packed.select("block", "payload").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda o, t: _score(o, t, buckets, ends, total, different), schema)
