@@ -271,9 +271,9 @@ def _score(own: pa.Table, told: pa.Table, buckets: int, ends: int, total: int, d
             out[np.argsort(_bucket(kind, keys, buckets), kind="stable")] = np.concatenate([_loosen(rows[b], of) for b in sorted(rows)])
         return out
 
-    known = np.zeros(0, np.uint64)
-    for distinct, _, _ in text.strings():
-        known = np.union1d(known, distinct)
+    met = np.sort(np.concatenate([np.zeros(0, np.uint64), *(distinct for distinct, _, _ in text.strings())]))
+    known = met[np.concatenate([[True], met[1:] != met[:-1]])] if len(met) else met
+    del met
     value = answers(GRAM, np.float64, known)
     score = np.zeros(docs)
     for distinct, which, of in text.strings():
