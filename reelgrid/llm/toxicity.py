@@ -160,9 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return votes
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, with_row: bool = False) -> DataFrame:
     """Score every document: id, score (0 to 1), predicted (score >= threshold), evidence (ids of up to five nearest examples).
 
+    With `with_row` also row: the document's own columns, as ids need not tell rows apart.
+
     Null and empty texts and texts without any term score as the share of toxic rows among
     such examples.  Without labelled rows all score 0.  Repeated rows are scored each; labels
     without a document, null labels and null ids teach nothing.  No other column is read.
@@ -176,7 +178,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             found, evidence = votes.value.score(code, of)
             ids = table.column("id").combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found), pa.array((found >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(ids.type))], ["id", "score", "predicted", "evidence"])
+            own = [table.column("row").combine_chunks()] if with_row else []
+            own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found), pa.array((found >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(ids.type)), *own], ["id", "score", "predicted", "evidence", "row"][: 4 + with_row])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    return slim.mapInArrow(score, f"id {kind}, score double, predicted int, evidence array<{kind}>")
+    whole = [F.struct(*docs.columns).alias("row")] if with_row else []
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *whole)
+    return slim.mapInArrow(score, f"id {kind}, score double, predicted int, evidence array<{kind}>" + (f", row {B.id_type(slim, 'row')}" if with_row else ""))
