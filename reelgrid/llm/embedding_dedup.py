@@ -1,8 +1,9 @@
 """Embedding near-dedup: one small-world graph per shard, every vector sent to every shard.
 
 Equal vectors are one.  A shard's task builds its graph (hnsw.py), audits the
-recall of links on sampled queries against an exact scan and widens the beam
-until the audit passes; a query whose whole beam links is asked again with a
+recall of links on sampled members, a vector's link with itself left out, against
+an exact scan and widens the beam until the audit passes; where no beam does, all
+queries are compared with the whole shard; a query whose whole beam links is asked again with a
 wider one, and at last against the whole shard.  Pairs are verified by cosine in
 double precision.  What leaves a task are numbers of links, and for each batch
 of queries a star for every group that its links connect.
@@ -25,7 +26,8 @@ from .hnsw import HNSW
 SHARD_ROWS = 32_768
 LEAST_SHARDS = 6
 BEAM, WIDEST = 32, 256
-AUDITED, RECALL = 64, 0.99
+#: Members that an audit asks with, and the share of their links with others that a beam has to find.
+AUDITED, RECALL = 2048, 0.99
 QUERIES = 512
 
 
@@ -63,14 +65,18 @@ class Shard:
         row, column = np.nonzero(near)
         return *self._verified(exact, row, ids[row, column]), np.flatnonzero(near.all(axis=1))
 
-    def _audit(self, exact: np.ndarray) -> None:
-        sample = exact[np.linspace(0, len(exact) - 1, min(AUDITED, len(exact))).astype(np.int64)]
-        true = {*zip(*(x.tolist() for x in self._scan(sample)), strict=True)}
+    def _audit(self) -> None:
+        """The least beam that finds the links of sampled members with others; beyond WIDEST where none does."""
+        pick = np.linspace(0, len(self.nodes) - 1, min(AUDITED, len(self.nodes))).astype(np.int64)
+        sample = self.exact[pick]
+        row, member = self._scan(sample)
+        other = member != pick[row]
+        true = {*zip(row[other].tolist(), member[other].tolist(), strict=True)}
         self.beam = BEAM
-        while self.beam < min(WIDEST, len(self.nodes)):
+        while self.beam <= WIDEST and self.beam < len(self.nodes):
             row, member, full = self._search(sample, self.beam)
-            done = {r for r, _ in true} - set(full.tolist())  # full beams are asked again in any case
-            wanted = {p for p in true if p[0] in done}
+            wide = set(full.tolist())  # full beams are asked again in any case
+            wanted = {p for p in true if p[0] not in wide}
             if len(wanted & {*zip(row.tolist(), member.tolist(), strict=True)}) >= RECALL * len(wanted):
                 break
             self.beam *= 2
@@ -79,7 +85,7 @@ class Shard:
         """Every (query, member) pair whose cosine reaches the bound."""
         exact = self.unit(vectors)
         if not self.beam:
-            self._audit(exact)
+            self._audit()
         rows, members, open_, beam = [], [], np.arange(len(exact)), self.beam
         while len(open_) and beam <= WIDEST and beam < len(self.nodes):
             row, member, full = self._search(exact[open_], beam)
