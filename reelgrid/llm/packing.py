@@ -140,10 +140,10 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
             if exact := complement(gap, pattern):
                 pattern += exact
                 continue
-            fits = [x for x in np.flatnonzero(left[: gap + 1])[::-1][:8].tolist() if able([x], pattern)]
-            if not fits:
+            fit = next((x for x in np.flatnonzero(left[: gap + 1])[::-1].tolist() if able([x], pattern)), None)
+            if fit is None:
                 break
-            pattern.append(fits[0])
+            pattern.append(fit)
         need = Counter(pattern)
         bins = min(int(left[x]) // n for x, n in need.items())
         for x, n in need.items():
