@@ -97,6 +97,8 @@ def repeated_windows(text: np.ndarray, length: int, weight: np.ndarray) -> np.nd
 
     weight: what an occurrence at each place counts; 0 where a separator cuts the string.
     """
+    if len(text) > MAX_TEXT:
+        raise ValueError(f"{len(text)} characters in one text; {MAX_TEXT} at most")
     order = suffix_order(text, length)
     cut = repeat_boundaries(text[order - 1], length)
     heads = np.flatnonzero(cut)
