@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Terms are the words of which most documents are toxic, and whose counts differ
-clearly between the classes (chi-squared); a text is its TF-IDF vector over these.  The index holds blocks
-of examples: for each term its postings by block and the largest weight in each
-block.  A query adds up what its terms could give at most in each block, visits
-blocks from the largest bound, and stops when no bound reaches the k-th best
-cosine, so the neighbours are exact.  Their labels vote by 1 / distance against
-the share of toxic examples as a prior; texts without terms get the share that
-such examples have.
+A text is the vector of all its words that the examples hold.  A word weighs its
+TF-IDF times its chi-squared against the label, so that what tells the
+classes apart, either way, decides who is near; no word and no example is left out.
+The index holds blocks of examples: for each word its postings by block and the
+largest weight in each block.  A query sums up the words that can give most until
+the rest cannot lift an example from nothing to the k-th best cosine; then only
+blocks whose bound still reaches that are summed to the end, so the neighbours are
+exact.  Their labels vote by
+1 / distance against the share of toxic examples as a prior.  Votes become
+probabilities by a logistic curve fitted on labelled rows kept out of the index.
 """
 
 from __future__ import annotations
@@ -22,31 +24,28 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .decontaminate import words_of
 
-#: Labelled rows that examples and terms are drawn from at most: those with the smallest hashes of their id.
+#: Labelled rows that are learnt from at most: those with the smallest hashes of their id.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4096
-#: Chi-squared from which a term counts; five documents of one class at a share of 0.12 reach it.
-MIN_CHI2 = 30.0
-#: Share of toxic documents among those with a term, at least: a long text's usual words are no terms.
-MIN_SHARE = 0.5
+#: Distinct words of these, summed over rows: what is collected and broadcast, 16 bytes each.
+MAX_POSTINGS = 8_000_000
+#: Every so many of the rows learnt from is kept out of the index, for calibration.
+CALIBRATE = 5
 SLICE_BYTES = 4 << 20
+#: Terms of a query that are summed up before it is asked again whether the rest matters.
+TERMS = 24
 
 
-def _pairs(code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, code) pairs, by code, and how often each occurs."""
-    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-    order = np.argsort(code, kind="stable")
-    code, doc = code[order], doc[order]
-    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
-    return doc[new], code[new], np.diff(np.concatenate([new, [len(code)]]))
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), start[1], ..."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before, n) + np.arange(int(n.sum()))
 
 
 class BlockMaxIndex:
     """Unit vectors of examples in blocks; exact nearest neighbours by cosine."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, ids: list, width: int = 64):
-        self.terms, self.idf, self.width = terms, idf, width
-        # Examples with the same strongest term stand together: bounds of blocks are then tight.
+    def __init__(self, n_terms: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, ids: list, width: int = 64):
+        # Examples with the same strongest word stand together: bounds of blocks are then tight.
         strongest = np.zeros(len(label), np.int64)
         by = np.argsort(weight, kind="stable")
         strongest[doc[by]] = term[by]
@@ -57,107 +56,163 @@ class BlockMaxIndex:
         at = place[doc]
         self.blocks = -(-len(label) // width)
         order = np.lexsort((at, term))
-        self.at, self.weight, term = at[order], weight[order], term[order]
-        cell = term * self.blocks + self.at // width
-        self.offset = np.searchsorted(cell, np.arange(len(terms) * self.blocks + 1)).reshape(-1)
-        self.bound = np.zeros(len(terms) * self.blocks)
-        np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(len(terms), self.blocks)
+        self.at, self.weight = at[order].astype(np.int32), weight[order].astype(np.float32)
+        cell = term[order] * self.blocks + self.at // width
+        head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.start = np.append(head, len(cell)).astype(np.int32)
+        self.block = (cell[head] % self.blocks).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(cell[head] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
+        self.width, self.top = width, np.zeros(n_terms, np.float32)
+        np.maximum.at(self.top, np.repeat(np.arange(n_terms), np.diff(self.cells)), self.bound)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples over 0; of equals the first."""
-        bound = weight @ self.bound[term]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(score) >= k and bound[b] < score[-1] - 1e-12):
-                break
-            own = np.zeros(self.width)
-            for t, w in zip((term * self.blocks + b).tolist(), weight.tolist(), strict=True):
-                s, e = self.offset[t], self.offset[t + 1]
-                own[self.at[s:e] - b * self.width] += w * self.weight[s:e]
-            some = np.flatnonzero(own > 0)
-            best, score = np.concatenate([best, some + b * self.width]), np.concatenate([score, own[some]])
-            order = np.lexsort((best, -score))[:k]
-            best, score = best[order], score[order]
-        return best, score
+        size, most = len(self.label), weight * self.top[term]
+        order = np.argsort(-most, kind="stable")
+        term, weight, most = term[order], weight[order], most[order]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # what terms from here on can add at most
+        sums = np.zeros(self.blocks * self.width)
+        first, end = self.start[self.cells[term]].tolist(), self.start[self.cells[term + 1]].tolist()
+        at, least = 0, 0.0
+        while at < len(term) and (rest[at] >= least or not least):
+            upto = at + TERMS
+            for s, e, w in zip(first[at:upto], end[at:upto], weight[at:upto].tolist(), strict=True):
+                sums[self.at[s:e]] += w * self.weight[s:e]
+            at = min(upto, len(term))
+            if k < size:
+                least = np.partition(sums, len(sums) - k)[len(sums) - k]
+        if at < len(term):
+            # No new example can come in: only blocks that still reach the k-th best are looked at further.
+            n = self.cells[term[at:] + 1] - self.cells[term[at:]]
+            cell, own = _ranges(self.cells[term[at:]], n), np.repeat(weight[at:], n)
+            block = self.block[cell]
+            able = sums.reshape(self.blocks, self.width).max(axis=1) + np.bincount(block, own * self.bound[cell], self.blocks) >= least - 1e-9
+            some = able[block]
+            start = self.start[cell[some]]
+            count = self.start[cell[some] + 1] - start
+            post = _ranges(start, count)
+            sums += np.bincount(self.at[post], np.repeat(own[some], count) * self.weight[post], len(sums))
+            sums.reshape(self.blocks, self.width)[~able] = 0
+        there = np.flatnonzero(sums >= least) if least > 0 else np.flatnonzero(sums)
+        best = there[np.lexsort((there, -sums[there]))[:k]]
+        return best, sums[best]
 
 
 class Votes:
-    """Scores texts by the index; all that goes to executors, bounded by MAX_EXAMPLES and MAX_TERMS."""
-
-    def __init__(self, index: BlockMaxIndex | None, terms: np.ndarray, idf: np.ndarray, share: float, plain: float, k: int):
-        self.index, self.terms, self.idf, self.share, self.plain, self.k = index, terms, idf, share, plain, k
+    """Scores texts by the index; all that goes to executors, bounded by MAX_POSTINGS."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, share: float, k: int):
+        self.terms, self.weight, self.share, self.k = terms, weight, share, k
+        self.index: BlockMaxIndex | None = None
+        self.curve: tuple[float, float] | None = None
+
+    def vectors(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, word number and unit weight of every distinct known word of a text, in order."""
+        distinct, at = np.unique(code, return_inverse=True)
+        known = np.minimum(np.searchsorted(self.terms, distinct), len(self.terms) - 1)
+        number = np.where(self.terms[known] == distinct, known, -1)[at]
+        doc = np.repeat(np.arange(len(of) - 1), np.diff(of))[number >= 0]
+        pair, count = np.unique(doc * len(self.terms) + number[number >= 0], return_counts=True)
+        doc, term = pair // len(self.terms), pair % len(self.terms)
+        weight = (1 + np.log(count)) * self.weight[term]
+        doc, term, weight = (x[weight > 0] for x in (doc, term, weight))
+        length = np.sqrt(np.bincount(doc, weight * weight, len(of) - 1))
+        return doc, term, weight / length[doc]
+
+    def votes(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[list]]:
+        """Of each text the vote of its neighbours (NaN without any), and the ids of up to five of them."""
+        out, evidence = np.full(len(of) - 1, np.nan), [[] for _ in range(len(of) - 1)]
+        if self.index is None or not len(code):
+            return out, evidence
+        doc, term, weight = self.vectors(code, of)
+        edges = np.searchsorted(doc, np.arange(len(of))).tolist()
+        for d, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if s == e:
+                continue
+            near, cosine = self.index.nearest(term[s:e], weight[s:e], self.k)
+            if len(near):
+                pull = 1 / (1.05 - np.minimum(cosine, 1))
+                out[d] = (pull @ self.index.label[near] + self.share) / (pull.sum() + 1)
+                evidence[d] = [self.index.ids[i] for i in near[:5]]
+        return out, evidence
 
-    def vectors(self, code: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Texts with terms, with the numbers and unit weights of these."""
-        if not len(self.terms) or not len(code):
+    def calibrate(self, vote: np.ndarray, label: np.ndarray) -> None:
+        """Fit the curve; left out where the rows are of one class."""
+        told = ~np.isnan(vote)
+        x, y = _logit(vote[told]), label[told]
+        if not 0 < y.sum() < len(y):
             return
-        at = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[at] == code)
-        doc = np.searchsorted(of, known, "right") - 1
-        pair, count = np.unique(doc * len(self.terms) + at[known], return_counts=True)
-        doc, term = pair // len(self.terms), pair % len(self.terms)
-        weight = (1 + np.log(count)) * self.idf[term]
-        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)], strict=False):
-            yield int(doc[s]), term[s:e], weight[s:e] / np.sqrt((weight[s:e] ** 2).sum())
+        goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        rows, at = np.stack([np.ones(len(x)), x]), np.zeros(2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-at @ rows))
+            step = np.linalg.solve((rows * (p * (1 - p))) @ rows.T + 1e-6 * np.eye(2), rows @ (goal - p) - 1e-6 * at)
+            at = at + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        self.curve = (float(at[0]), max(float(at[1]), 0.0))
 
     def score(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[list]]:
-        out, evidence = np.full(len(of) - 1, self.plain), [[] for _ in range(len(of) - 1)]
-        if self.index is None:
-            return out, evidence
-        for doc, term, weight in self.vectors(code, of):
-            near, cosine = self.index.nearest(term, weight, self.k)
-            pull = 1 / (1.05 - np.minimum(cosine, 1))
-            out[doc] = (pull @ self.index.label[near] + self.share) / (pull.sum() + 1)
-            evidence[doc] = [self.index.ids[i] for i in near[:5]]
-        return out, evidence
+        vote, evidence = self.votes(code, of)
+        score = vote if self.curve is None else 1 / (1 + np.exp(-self.curve[0] - self.curve[1] * _logit(vote)))
+        return np.where(np.isnan(vote), self.share, score), evidence
+
+
+def _logit(vote: np.ndarray) -> np.ndarray:
+    return np.log(vote + 1e-3) - np.log(1 - vote + 1e-3)
+
+
+def _learn(codes: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, ids: list, k: int) -> Votes:
+    """Words, weights, index and curve from the examples' distinct words and their counts."""
+    inside = np.arange(len(label)) % CALIBRATE != CALIBRATE - 1
+    if not (label[inside].any() and (label[inside] == 0).any()):
+        inside[:] = True  # all of one class: nothing to calibrate by
+    size = np.array([len(c) for c in codes], np.int64)
+    doc, code = np.repeat(np.arange(len(label)), size), np.concatenate([np.zeros(0, np.uint64), *codes])
+    terms, term = np.unique(code[inside[doc]], return_inverse=True)
+    total, toxic = int(inside.sum()), float(label[inside].sum())
+    n = np.bincount(term, minlength=len(terms)).astype(np.float64)
+    bad = np.bincount(term, label[doc[inside[doc]]], len(terms))
+    spread = n * (total - n) * toxic * (total - toxic)
+    chi2 = np.divide(total * (bad * (total - n) - (toxic - bad) * (n - bad)) ** 2, spread, out=np.zeros(len(n)), where=spread > 0)
+    votes = Votes(terms, np.log((1 + total) / n) * chi2, toxic / total if total else 0.0, k)
+    if not votes.weight.any():
+        return votes
+    flat = np.repeat(code, np.concatenate([np.zeros(0, np.int64), *counts]))
+    words = np.array([c.sum() for c in counts], np.int64)
+    doc, term, weight = votes.vectors(flat[np.repeat(inside, words)], np.concatenate([[0], np.cumsum(words[inside])]))
+    votes.index = BlockMaxIndex(len(terms), doc, term, weight, label[inside], [i for i, x in zip(ids, inside.tolist(), strict=True) if x])
+    out = votes.votes(flat[np.repeat(~inside, words)], np.concatenate([[0], np.cumsum(words[~inside])]))[0]
+    votes.calibrate(out, label[~inside])
+    return votes
+
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_examples: int, max_postings: int = MAX_POSTINGS) -> Votes:
+    """Learn from at most max_examples labelled rows, and so many of them that their distinct words are max_postings at most.
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_examples: int) -> Votes:
-    """Terms and examples from at most max_examples labelled rows; several labels of an id count as toxic if any is."""
+    Several labels of an id count as toxic if any is; of several documents of an id the smallest text counts.
+    """
     told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     drawn = told.orderBy(F.xxhash64("id"), "id").limit(max_examples)
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    examples = text.join(F.broadcast(drawn), "id")  # at most max_examples rows of two numbers
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in B.slices(batches, "text", 4 * SLICE_BYTES):
-            label = table.column("label").to_numpy().astype(np.int64)
-            _, _, code, of = words_of(*B.flat(table.column("text")))
-            doc, code, _ = _pairs(code, of)
-            heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([heads, [len(code)]]))
-            bad = np.add.reduceat(label[doc], heads) if len(heads) else heads
-            yield pa.RecordBatch.from_arrays([pa.array(code[heads].view(np.int64)), pa.array(n), pa.array(bad)], ["code", "n", "bad"])
-
-    total, toxic = examples.agg(F.count("*"), F.sum("label")).first()
-    toxic = toxic or 0
-    a, b = F.col("bad"), F.col("n") - F.col("bad")
-    c, d = F.lit(toxic) - a, F.lit(total - toxic) - b
-    chi2 = F.lit(float(total)) * F.pow(a * d - b * c, F.lit(2)) / (F.col("n") * (F.lit(total) - F.col("n")) * F.lit(float(toxic) * (total - toxic)) + F.lit(1e-9))
-    counted = examples.mapInArrow(count, "code long, n long, bad long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    kept = counted.filter((F.col("n") >= 3) & (F.col("bad") >= MIN_SHARE * F.col("n"))).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "code").limit(MAX_TERMS).collect()
-    terms = np.array([r["code"] for r in kept], np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms, idf = terms[order], np.log((1 + total) / (1 + np.array([r["n"] for r in kept], np.float64)[order])) + 1
-    votes = Votes(None, terms, idf, toxic / total if total else 0.0, 0.0, k)
+    examples = text.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # the broadcast: max_examples rows of two numbers
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in B.slices(batches, "text", 4 * SLICE_BYTES):
+        for table in B.slices(batches, "text", SLICE_BYTES):
             _, _, code, of = words_of(*B.flat(table.column("text")))
-            rows = list(votes.vectors(code, of))
-            picked = table.select(["id", "label"]).take(pa.array([d for d, _, _ in rows], pa.int64())).combine_chunks()
-            columns = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in picked.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([t for _, t, _ in rows], pa.list_(pa.int64())), pa.array([w for _, _, w in rows], pa.list_(pa.float64()))], ["id", "label", "term", "weight"])
-
-    found = examples.mapInArrow(vectorise, f"id {B.id_type(docs, id_col)}, label int, term array<long>, weight array<double>").orderBy("id").collect() if len(terms) else []
-    if found:
-        size = [len(r["term"]) for r in found]
-        label = np.array([r["label"] for r in found], np.float64)
-        votes.index = BlockMaxIndex(terms, idf, np.repeat(np.arange(len(found)), size), np.concatenate([r["term"] for r in found]), np.concatenate([r["weight"] for r in found]), label, [r["id"] for r in found])
-    votes.plain = float((toxic - sum(r["label"] for r in found)) / max(1, total - len(found)))
-    return votes
+            found = [np.unique(code[s:e], return_counts=True) for s, e in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+            own = [table.column(c).combine_chunks() for c in ("id", "label")]
+            own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(c) for c, _ in found], pa.int64()), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["id", "label", "size", "codes", "counts"])
+
+    kept = B.kept(examples.mapInArrow(vectorise, f"id {B.id_type(docs, id_col)}, label int, size long, codes binary, counts binary"), "examples").withColumn("hash", F.xxhash64("id"))
+    size = kept.select("hash", "id", "size").orderBy("hash", "id").toArrow()  # max_examples rows of three numbers
+    fits = int(np.searchsorted(np.cumsum(size.column("size").to_numpy()), max_postings, "right"))
+    last = size.column("hash")[fits - 1].as_py() if fits else None
+    rows = kept.filter(F.col("hash") <= F.lit(last)).orderBy("hash", "id").toArrow().slice(0, fits)  # max_postings words at most
+    codes, counts = ([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()] for c, kind in (("codes", np.uint64), ("counts", np.int32)))
+    return _learn(codes, counts, rows.column("label").to_numpy().astype(np.float64), rows.column("id").to_pylist(), k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, with_row: bool = False) -> DataFrame:
@@ -165,9 +220,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     With `with_row` also row: the document's own columns, as ids need not tell rows apart.
 
-    Null and empty texts and texts without any term score as the share of toxic rows among
-    such examples.  Without labelled rows all score 0.  Repeated rows are scored each; labels
-    without a document, null labels and null ids teach nothing.  No other column is read.
+    Null and empty texts, and texts without any word of an example, score as the share of toxic
+    examples.  Without labelled rows all score 0; with rows of one class only, that class's
+    share.  Repeated rows are scored each; labels without a document, null labels and null ids
+    teach nothing.  Of equally near examples those that stand first in the index count.  No
+    other column is read.
     """
     votes = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, k, max_examples))
     kind = B.id_type(docs, id_col)

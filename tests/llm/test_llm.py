@@ -249,29 +249,6 @@ def test_ppm(docs, rows):
         assert abs(r["base_score"] - sum(math.log10((tokens[x] + 0.5) / (total + 0.5 * (different + 1))) for x in w)) < 1e-6
 
 
-def test_toxicity_held_out(spark):
-    from reelgrid.llm.queries import op7_toxicity
-
-    sf = "/root/testdata/sf0.1"
-    held = op7_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
-    assert held[held.predicted == 1].toxic.mean() > 0.85 and held[held.toxic == 1].predicted.mean() > 0.8
-
-
-def test_nearest_is_exact():
-    from reelgrid.llm.toxicity import BlockMaxIndex
-
-    rng = np.random.default_rng(5)
-    x = rng.random((500, 30)) * (rng.random((500, 30)) < 0.2)
-    x = x[x.any(axis=1)]
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    doc, term = np.nonzero(x)
-    index = BlockMaxIndex(np.arange(30).astype(np.uint64), np.ones(30), doc, term, x[doc, term], np.zeros(len(x)), list(range(len(x))), width=16)
-    for q in x[:40]:
-        t = np.flatnonzero(q)
-        _, score = index.nearest(t, q[t], 7)
-        assert np.allclose(score, np.sort(x @ q)[::-1][:7])
-
-
 def test_empty_tables(spark):
     from reelgrid.llm.decontaminate import decontaminate
     from reelgrid.llm.embedding_dedup import embedding_groups
