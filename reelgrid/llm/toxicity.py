@@ -15,6 +15,7 @@ probabilities by a logistic curve fitted on labelled rows kept out of the index.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -66,19 +67,27 @@ class BlockMaxIndex:
         self.width, self.top = width, np.zeros(n_terms, np.float32)
         np.maximum.at(self.top, np.repeat(np.arange(n_terms), np.diff(self.cells)), self.bound)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "wide"}
+
+    @cached_property
+    def wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights as numpy adds them up fastest; travels narrow."""
+        return self.at.astype(np.int64), self.weight.astype(np.float64)
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples over 0; of equals the first."""
         size, most = len(self.label), weight * self.top[term]
         order = np.argsort(-most, kind="stable")
         term, weight, most = term[order], weight[order], most[order]
         rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # what terms from here on can add at most
-        sums = np.zeros(self.blocks * self.width)
+        sums, (place, value) = np.zeros(self.blocks * self.width), self.wide
         first, end = self.start[self.cells[term]].tolist(), self.start[self.cells[term + 1]].tolist()
         at, least = 0, 0.0
         while at < len(term) and (rest[at] >= least or not least):
             upto = at + TERMS
             for s, e, w in zip(first[at:upto], end[at:upto], weight[at:upto].tolist(), strict=True):
-                sums[self.at[s:e]] += w * self.weight[s:e]
+                np.add.at(sums, place[s:e], w * value[s:e])
             at = min(upto, len(term))
             if k < size:
                 least = np.partition(sums, len(sums) - k)[len(sums) - k]
@@ -92,7 +101,7 @@ class BlockMaxIndex:
             start = self.start[cell[some]]
             count = self.start[cell[some] + 1] - start
             post = _ranges(start, count)
-            sums += np.bincount(self.at[post], np.repeat(own[some], count) * self.weight[post], len(sums))
+            sums += np.bincount(place[post], np.repeat(own[some], count) * value[post], len(sums))
             sums.reshape(self.blocks, self.width)[~able] = 0
         there = np.flatnonzero(sums >= least) if least > 0 else np.flatnonzero(sums)
         best = there[np.lexsort((there, -sums[there]))[:k]]
@@ -107,26 +116,21 @@ class Votes:
         self.index: BlockMaxIndex | None = None
         self.curve: tuple[float, float] | None = None
 
-    def vectors(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, word number and unit weight of every distinct known word of a text, in order."""
-        distinct, at = np.unique(code, return_inverse=True)
-        known = np.minimum(np.searchsorted(self.terms, distinct), len(self.terms) - 1)
-        number = np.where(self.terms[known] == distinct, known, -1)[at]
-        doc = np.repeat(np.arange(len(of) - 1), np.diff(of))[number >= 0]
-        pair, count = np.unique(doc * len(self.terms) + number[number >= 0], return_counts=True)
-        doc, term = pair // len(self.terms), pair % len(self.terms)
-        weight = (1 + np.log(count)) * self.weight[term]
+    def vectors(self, doc: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts' distinct words (by text) and their counts, the known ones: text, word number and unit weight."""
+        term = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
+        weight = np.where(self.terms[term] == code, self.weight[term], 0) * (1 + np.log(count))
         doc, term, weight = (x[weight > 0] for x in (doc, term, weight))
-        length = np.sqrt(np.bincount(doc, weight * weight, len(of) - 1))
+        length = np.sqrt(np.bincount(doc, weight * weight))
         return doc, term, weight / length[doc]
 
-    def votes(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[list]]:
+    def votes(self, doc: np.ndarray, code: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, list[list]]:
         """Of each text the vote of its neighbours (NaN without any), and the ids of up to five of them."""
-        out, evidence = np.full(len(of) - 1, np.nan), [[] for _ in range(len(of) - 1)]
+        out, evidence = np.full(texts, np.nan), [[] for _ in range(texts)]
         if self.index is None or not len(code):
             return out, evidence
-        doc, term, weight = self.vectors(code, of)
-        edges = np.searchsorted(doc, np.arange(len(of))).tolist()
+        doc, term, weight = self.vectors(doc, code, count)
+        edges = np.searchsorted(doc, np.arange(texts + 1)).tolist()
         for d, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if s == e:
                 continue
@@ -154,7 +158,10 @@ class Votes:
         self.curve = (float(at[0]), max(float(at[1]), 0.0))
 
     def score(self, code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[list]]:
-        vote, evidence = self.votes(code, of)
+        distinct, at = np.unique(code, return_inverse=True)
+        doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        pair, count = np.unique(doc * max(1, len(distinct)) + at, return_counts=True)
+        vote, evidence = self.votes(pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))], count, len(of) - 1)
         score = vote if self.curve is None else 1 / (1 + np.exp(-self.curve[0] - self.curve[1] * _logit(vote)))
         return np.where(np.isnan(vote), self.share, score), evidence
 
@@ -169,21 +176,21 @@ def _learn(codes: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray,
     if not (label[inside].any() and (label[inside] == 0).any()):
         inside[:] = True  # all of one class: nothing to calibrate by
     size = np.array([len(c) for c in codes], np.int64)
-    doc, code = np.repeat(np.arange(len(label)), size), np.concatenate([np.zeros(0, np.uint64), *codes])
-    terms, term = np.unique(code[inside[doc]], return_inverse=True)
+    doc, code, count = np.repeat(np.arange(len(label)), size), np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([np.zeros(0, np.int32), *counts])
+    here = inside[doc]
+    terms, term = np.unique(code[here], return_inverse=True)
     total, toxic = int(inside.sum()), float(label[inside].sum())
     n = np.bincount(term, minlength=len(terms)).astype(np.float64)
-    bad = np.bincount(term, label[doc[inside[doc]]], len(terms))
+    bad = np.bincount(term, label[doc[here]], len(terms))
     spread = n * (total - n) * toxic * (total - toxic)
     chi2 = np.divide(total * (bad * (total - n) - (toxic - bad) * (n - bad)) ** 2, spread, out=np.zeros(len(n)), where=spread > 0)
+    del term
     votes = Votes(terms, np.log((1 + total) / n) * chi2, toxic / total if total else 0.0, k)
     if not votes.weight.any():
         return votes
-    flat = np.repeat(code, np.concatenate([np.zeros(0, np.int64), *counts]))
-    words = np.array([c.sum() for c in counts], np.int64)
-    doc, term, weight = votes.vectors(flat[np.repeat(inside, words)], np.concatenate([[0], np.cumsum(words[inside])]))
-    votes.index = BlockMaxIndex(len(terms), doc, term, weight, label[inside], [i for i, x in zip(ids, inside.tolist(), strict=True) if x])
-    out = votes.votes(flat[np.repeat(~inside, words)], np.concatenate([[0], np.cumsum(words[~inside])]))[0]
+    seat = np.where(inside, np.cumsum(inside), np.cumsum(~inside)) - 1
+    votes.index = BlockMaxIndex(len(terms), *votes.vectors(seat[doc[here]], code[here], count[here]), label[inside], [i for i, x in zip(ids, inside.tolist(), strict=True) if x])
+    out = votes.votes(seat[doc[~here]], code[~here], count[~here], int((~inside).sum()))[0]
     votes.calibrate(out, label[~inside])
     return votes
 
