@@ -17,24 +17,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SALTS = 64
+#: Ranks of a length are counted in that many parts at least, and in more where pieces are many.
+SALTS, MOST_SALTS, SALT_ROWS = 64, 1024, 4_000_000
 END = b"\0\0\0\0"
-#: Chunks, and words within them, that a worker keeps the token numbers of.
-CACHE, CORES = 500_000, 700_000
+#: Bytes of chunks, and of words within them, that a worker keeps the token numbers of; longer chunks are not kept.
+CACHE_BYTES, LONG = 48 << 20, 256
 SLICE_BYTES = 4 << 20
 _TRAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Known(dict):
+    """Token numbers by bytes, forgotten when they outgrow CACHE_BYTES."""
+
+    held = 0
+
+    def learn(self, keys: list[bytes], numbers: list[bytes]) -> None:
+        self.held += sum(len(k) + len(n) + 130 for k, n in zip(keys, numbers, strict=True))
+        self.update(zip(keys, numbers, strict=True))
+
+    def tidy(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
+
 class WordTokens:
-    """Token numbers of texts by a tokenizer that drops white space and never joins what it parts.
+    """Token numbers of texts, as little-endian 32-bit numbers.
 
-    Chunks between ASCII white space are tokenized once and remembered as little-endian
-    32-bit numbers.  A chunk of letters and marks behind them is two such parts.
+    A tokenizer that drops white space and never joins what it parts is asked for each chunk
+    between ASCII white space once; a chunk of letters and punctuation behind them is two such
+    parts, and case is folded first where the tokenizer does so.  Others get whole texts.
     """
 
     def __init__(self, path: str):
@@ -45,77 +63,94 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        letters = bytes(range(ord("a"), ord("z") + 1))
+        apart = [b"ab", b"cd", b"\xc3\xa9f", b"it's", b"12", b"g", b"..."]
+        whole = self._whole([b" ab\tcd \xc3\xa9f\nit's  12 g... "])[0]
+        self.parts = whole == b"".join(self._whole(apart))
+        self.folds = self._whole([letters]) == self._whole([letters.upper()])
+        self.known, self.cores = _Known(), _Known()
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         """Each part's numbers.  Words of letters alone go through together: a token that ends a word tells them apart."""
         out = [b""] * len(parts)
         texts = [p.decode("utf-8", "replace") for p in parts]
-        words = [i for i, t in enumerate(texts) if t.isalpha()]
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        words = [i for i, t in enumerate(texts) if _letters(t)]
+        rest = [i for i, t in enumerate(texts) if not _letters(t)]
         for at in range(0, len(words), 256):
             group = words[at : at + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in group])], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(group):  # some letter becomes two signs in lower case
+            if len(stops) != len(group):  # a letter to us is none to the tokenizer
                 rest += group
                 continue
             raw, edges = ids.tobytes(), (4 * stops).tolist()
             for i, s, e in zip(group, [0, *edges[:-1]], edges, strict=True):
                 out[i] = raw[s:e]
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, "<u4").tobytes()
+        for i, x in zip(rest, self._whole([parts[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
-    @staticmethod
-    def _split(chunk: bytes) -> tuple[bytes, bytes]:
+    def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
+        fold = bytes.lower if self.folds else bytes
         if chunk.isalpha():
-            return chunk.lower(), b""
+            return fold(chunk), b""
         core = chunk.rstrip(_TRAIL)
         if core.isascii():
-            return (core.lower(), chunk[len(core) :]) if core.isalpha() else (chunk, b"")
-        return (core, chunk[len(core) :]) if core.decode("utf-8", "replace").isalpha() else (chunk, b"")
+            return (fold(core), chunk[len(core) :]) if core.isalpha() else (chunk, b"")
+        return (core, chunk[len(core) :]) if _letters(core.decode("utf-8", "replace")) else (chunk, b"")
 
     def learn(self, chunks: set[bytes]) -> None:
+        self.known.tidy()
+        self.cores.tidy()
         fresh = list(chunks.difference(self.known))
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = list(chunks)
         split = [self._split(c) for c in fresh]
-        wanted = {p for pair in split for p in pair}
-        if len(self.cores) + len(wanted) > CORES:
-            self.cores.clear()
-        wanted = list(wanted.difference(self.cores))
-        self.cores.update(zip(wanted, self._encode(wanted), strict=True))
+        wanted = list({p for pair in split for p in pair}.difference(self.cores))
+        self.cores.learn(wanted, self._encode(wanted))
         cores = self.cores
-        self.known.update((c, cores[a] + cores[b]) for c, (a, b) in zip(fresh, split, strict=True))
+        self.known.learn(fresh, [cores[a] + cores[b] for a, b in split])
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.parts:
+            yield from (self._whole([t])[0] for t in texts)
+            return
         split = [t.split() for t in texts]
         seen: set[bytes] = set()
         for chunks in split:
             seen.update(chunks)
-        self.learn(seen)
+        long = [c for c in seen if len(c) > LONG]
+        self.learn(seen.difference(long) if long else seen)
         get = self.known.__getitem__
+        if long:
+            odd = dict.fromkeys(long)
+            get = lambda c: self._whole([c])[0] if c in odd else self.known[c]
         for chunks in split:
             yield b"".join(map(get, chunks))
 
 
+def _letters(text: str) -> bool:
+    """Letters before and after folding: some letters in lower case have a mark that joins with punctuation."""
+    return text.isalpha() and text.lower().isalpha()
+
+
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Patterns of lengths, each summing up to `size` at most, and how many bins follow each; uses all of counts."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
+    # Indexes of what is available: lengths themselves, sums of two and sums of three.
     out: list[tuple[list[int], int]] = []
-    pairs = None
+    pairs = triples = None
 
     def able(parts: list[int], pattern: list[int]) -> bool:
         need = Counter(parts + pattern)
         return all(left[x] >= n for x, n in need.items())
 
     def complement(gap: int, pattern: list[int]) -> list[int] | None:
-        nonlocal pairs
+        nonlocal pairs, triples
         if able([gap], pattern):
             return [gap]
         a = np.arange((gap + 1) // 2, gap)
@@ -125,7 +160,11 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
         if pairs is None:
             there = (left > 0).astype(np.float64)
             there[0] = 0
-            pairs = np.rint(np.fft.irfft(np.fft.rfft(there, 2 * size + 2) ** 2, 2 * size + 2)) > 0
+            wave = np.fft.rfft(there, 4 * size + 4)
+            pairs = np.rint(np.fft.irfft(wave**2, 4 * size + 4))[: size + 1] > 0
+            triples = np.rint(np.fft.irfft(np.fft.rfft(pairs.astype(np.float64), 4 * size + 4) * wave, 4 * size + 4))[: size + 1] > 0
+        if not triples[gap]:
+            return None
         a = np.arange((gap + 2) // 3, gap - 1)
         for x in a[(left[a] > 0) & pairs[gap - a]][::-1].tolist():
             b = np.arange((gap - x + 1) // 2, min(x, gap - x - 1) + 1)
@@ -177,9 +216,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     other columns are not read; an empty table gives an empty result.
     """
     kind = B.id_type(docs, id_col)
+    cut_schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words, number = WordTokens(tokenizer_path), TaskContext.get().partitionId() << 40
         for table in B.slices(batches, "text", SLICE_BYTES):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(words.texts(table.column("text").to_pylist())):
@@ -193,19 +233,24 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     crc.append(zlib.crc32(part))
             ids = table.column("id").take(pa.array(row, pa.int64())).combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            columns = [ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
+            columns = [ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.arange(number, number + len(row)))]
+            number += len(row)
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "number"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    made = slim.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
-    pieces = B.kept(made.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    cells = pieces.groupBy("length", "salt").count().collect()  # size x SALTS at most
+    pieces = B.kept(slim.mapInArrow(cut, cut_schema + ", number long"), "pieces")
+    # A piece of the full length is a sequence; the others, one a document at most, are ranked within their length.
+    whole = pieces.filter(F.col("length") == size).select("id", "piece", "start", "length", "ids_crc32", (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.filter(F.col("length") < size)
+    salts = min(MOST_SALTS, max(SALTS, rest.count() // SALT_ROWS))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)).cast("int"))
+    cells = rest.groupBy("length", "salt").count().collect()  # size x MOST_SALTS at most
     counts, before = Counter(), {}
     for r in sorted(cells, key=lambda r: (r["length"], r["salt"])):
         before[r["length"], r["salt"]] = counts[r["length"]]
         counts[r["length"]] += r["count"]
     seats = docs.sparkSession.sparkContext.broadcast((_seats(plan(counts, size)), before))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("number")) - 1
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, ahead = seats.value
@@ -215,4 +260,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             at = np.searchsorted(told["start"], key, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(told["sequence"][at] + key - told["start"][at]), pa.array(told["offset"][at])], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return pieces.withColumn("rank", rank.cast("long")).mapInArrow(seat, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    seated = rest.withColumn("rank", rank.cast("long")).drop("number")
+    return whole.unionByName(seated.mapInArrow(seat, cut_schema + ", sequence_id long, offset long"))
