@@ -28,10 +28,10 @@ class SuffixAutomaton:
         link[q] = clone
         return clone
 
-    def feed(self, sequence: list[int], weight: int) -> list[int]:
-        """Add a sequence; the state that each of its prefixes ends in."""
+    def feed(self, sequence: list[int], weight: int) -> None:
+        """Add a sequence; each of its prefixes counts with that weight."""
         longest, link, following, heavy = self.longest, self.link, self.next, self.weight
-        last, path = 0, []
+        last = 0
         for symbol in sequence:
             q = following[last].get(symbol)
             if q is not None:
@@ -51,10 +51,8 @@ class SuffixAutomaton:
                     link[fresh] = q if longest[q] == longest[p] + 1 else self._divert(p, symbol, q)
                 last = fresh
             heavy[last] += weight
-            path.append(last)
-        return path
 
-    def statistics(self) -> list[int]:
+    def repeats(self) -> list[int]:
         """For each state: the length of the longest suffix of its strings that weighs 2 or more."""
         by_length = np.argsort(np.array(self.longest), kind="stable").tolist()
         weight, link, longest = self.weight[:], self.link, self.longest
@@ -66,13 +64,27 @@ class SuffixAutomaton:
             best[v] = longest[v] if weight[v] >= 2 else best[link[v]]
         return best
 
+    def stream(self, sequence: list[int], best: list[int]) -> list[int]:
+        """Matching statistics of a sequence: at each place the longest string ending there that weighs 2 or more."""
+        longest, link, following = self.longest, self.link, self.next
+        at, length, out = 0, 0, []
+        for symbol in sequence:
+            while at and symbol not in following[at]:
+                at = link[at]
+                length = longest[at]
+            if symbol in following[at]:
+                at, length = following[at][symbol], length + 1
+            out.append(min(length, best[at]))
+        return out
+
 
 def repeated_windows(sequences: list[list[int]], length: int, weights: list[int]) -> list[np.ndarray]:
     """For each sequence, for each start of a window of `length`: does that window weigh 2 or more over all sequences?
 
-    The matching statistics of a sequence are read off the states that it ends in, place by place.
+    The automaton of all sequences is the reference; each is then streamed through it.
     """
     automaton = SuffixAutomaton()
-    paths = [automaton.feed(s, w) for s, w in zip(sequences, weights, strict=True)]
-    best = automaton.statistics()
-    return [np.array([best[v] >= length for v in path[length - 1 :]], bool) for path in paths]
+    for s, w in zip(sequences, weights, strict=True):
+        automaton.feed(s, w)
+    best = automaton.repeats()
+    return [np.array(automaton.stream(s, best)[length - 1 :], np.int64) >= length for s in sequences]

@@ -8,7 +8,6 @@ a string that stands in a third of all documents is asked for once per block.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,10 +22,13 @@ BLOCK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir.  A session without it is refused, as a local folder would be one machine's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="reelgrid-")
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/reelgrid"  # one machine is all there is
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -43,6 +45,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As kept, dealt into files by the hash of `key`: grouping and cogrouping by it later moves the other side only.
+
+    The table leaves no entry in the catalog; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -107,13 +123,13 @@ def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
             )
 
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *more)
-    return kept(slim.mapInArrow(bundle, BLOCKS), "blocks")
+    return kept_by(slim.mapInArrow(bundle, BLOCKS), "blocks", "block")
 
 
 def buckets_for(blocks: DataFrame) -> int:
-    """As many buckets as there are blocks' worth of bytes, 16 at least."""
+    """A bucket for every four blocks' worth of bytes, 16 at least."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(16, total // BLOCK_BYTES)
+    return max(16, total // (4 * BLOCK_BYTES))
 
 
 def id_type(docs: DataFrame, id_col: str) -> str:

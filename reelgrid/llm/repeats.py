@@ -1,21 +1,26 @@
 """Which units of a corpus (bytes or words) does a window cover whose content also starts elsewhere?
 
-The work runs over blocks of documents (blocks.py) in three exchanges, all of
-hashes or of the text of candidates, never of whole documents:
+The work runs over blocks of documents (blocks.py).  Blocks stay in their files,
+dealt by their number; only hashes, and texts of candidates, move:
 
 1. A block names its segments (winnow.py) by akey and skey, once each with the
    number of their occurrences.  All that share an akey meet in one bucket.  An
-   akey met once repeats nothing.  A segment whose skey is met twice is
+   akey met once repeats nothing.  A segment whose akey and skey are met twice is
    repeated in all its windows, and the block hears so.
 2. What is left are segments met once whose akey others share.  Their text, and
    that of one copy of each other segment of that akey, goes to the akey's
    bucket, where an index over these few texts decides window by window.
 3. Answers return to the blocks, which mark what the repeated windows cover.
 
-An akey with over `hot` different segments (a line that a third of all
-documents hold, each in its own surroundings) is not brought into one task:
-the windows of its segments are asked for one by one, by hash, as in step 1,
-and so spread evenly.
+An akey with over `hot` different segments (a line that a third of all documents
+hold, each in its own surroundings) would bring too much into one task.  Its
+windows take other anchors instead, by another order of the hashes, and go through
+the same steps once more; windows that keep meeting in such lines are in the end
+their own anchors, which only equal windows share.  A block that alone has many
+segments of one akey says so in one entry and does not list them.
+
+Segments are taken for equal if the 64-bit hashes of both their anchor and their
+whole content are.
 """
 
 from __future__ import annotations
@@ -28,19 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from . import winnow
+from . import bwt, winnow
 
-#: Different segments of one akey that one index holds at most.
-HOT = 2048
+#: Different segments of one akey that one index holds at most, and that one block lists.
+HOT, LISTED = 2048, 64
+#: Rules that anchors are chosen by, one after the other; by the last a window is its own anchor.
+RULES = 4
 
-# States of a segment in an answer.
-ALL, CONTEXT, SINGLE, HOT_ALL, HOT_SINGLE = 1, 3, 2, 5, 4
-SHIPPED, SPREAD, KNOWN = (CONTEXT, SINGLE), (HOT_ALL, HOT_SINGLE), (ALL, CONTEXT, HOT_ALL)
+# States of a segment in an answer, and the count that says that a block has too many of an akey.
+ALL, SINGLE, CONTEXT, CROWDED = 1, 2, 3, 4
+MANY = 255
 
 ASK = "bucket long, block long, akey binary, skey binary, n binary"
-ANSWER = "block long, kind int, a binary, b binary, c binary"
-OF_SEGMENT, OF_WINDOW, VERDICT = 0, 1, 2
-SENT = "kind int, bucket long, block long, akey binary, skey binary, n binary, ends binary, text binary"
+ANSWER = "block long, kind int, a binary, b binary, c binary, ships boolean, crowded boolean"
+#: Answers of rule k about segments have the kind k; about windows VERDICT + k.
+VERDICT = 64
+SENT = "bucket long, block long, akey binary, skey binary, n binary, ends binary, text binary"
 
 
 class Units:
@@ -60,7 +68,7 @@ class Units:
 
 
 def _table(schema: str, *columns) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
@@ -85,7 +93,7 @@ def _ask(keys: np.ndarray, skeys: np.ndarray, n: np.ndarray, block: int, buckets
     return _table(ASK, *(zip(*rows, strict=True) if rows else [[]] * 5))
 
 
-def _count(table: pa.Table, hot: int) -> pa.Table:
+def _count(table: pa.Table, hot: int, rule: int) -> pa.Table:
     """One bucket's answers to all blocks that asked."""
     asked = table.column("akey").to_pylist()
     akey, skey, n = _longs(table.column("akey")), _longs(table.column("skey")), _longs(table.column("n"), np.uint8).astype(np.int64)
@@ -99,25 +107,15 @@ def _count(table: pa.Table, hot: int) -> pa.Table:
     different, singles = np.bincount(group, new)[group], np.bincount(group, new & (total == 1))[group]
     told = np.bincount(group, n)[group] >= 2
     state = np.where(total >= 2, ALL, SINGLE)
-    open_ = told & (different > 1) & (singles > 0)
-    state[open_ & (total >= 2) & new] = CONTEXT
-    heated = open_ & (different > hot)
-    state[heated & (state == CONTEXT)] = HOT_ALL
-    state[heated & (state == SINGLE)] = HOT_SINGLE
+    state[told & (different > 1) & (singles > 0) & (total >= 2) & new] = CONTEXT
+    state[(np.maximum.reduceat(n, np.flatnonzero(new_akey)) == MANY)[group] | (different > hot)] = CROWDED
     keep = np.flatnonzero(told)
     keep = keep[np.argsort(block[keep], kind="stable")]
     found, at = np.unique(block[keep], return_index=True)
     parts = np.split(keep, at[1:]) if len(keep) else []
-    return _table(ANSWER, found, [OF_SEGMENT] * len(found), [akey[i].tobytes() for i in parts], [skey[i].tobytes() for i in parts], [state[i].astype(np.uint8).tobytes() for i in parts])
-
-
-def _known(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """skey (sorted) and state of a block's answers of one kind."""
-    rows = [i for i, k in enumerate(answers.column("kind").to_pylist()) if k == kind]
-    part = answers.take(pa.array(rows, pa.int64()))
-    key, state = _longs(part.column("b")), _longs(part.column("c"), np.uint8)
-    order = np.argsort(key)
-    return key[order], state[order]
+    states = [state[i].astype(np.uint8) for i in parts]
+    rows = [[f(x) for x in parts] for f in (lambda i: akey[i].tobytes(), lambda i: skey[i].tobytes())]
+    return _table(ANSWER, found, [rule] * len(found), *rows, [x.tobytes() for x in states], [bool((x == SINGLE).any() or (x == CONTEXT).any()) for x in states], [bool((x == CROWDED).any()) for x in states])
 
 
 def _look_up(key: np.ndarray, sorted_key: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -128,21 +126,22 @@ def _look_up(key: np.ndarray, sorted_key: np.ndarray, value: np.ndarray) -> np.n
     return np.where(sorted_key[at] == key, value[at], 0)
 
 
-def _windows(units: Units, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every window of the segments, piece by piece of the sequence."""
-    count = last - first + 1
-    start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    out, step = np.zeros(len(start), np.uint64), 1 << 17
-    order = np.argsort(start, kind="stable")
-    at = 0
-    while at < len(order):
-        base = start[order[at]]
-        upto = int(np.searchsorted(start[order], base + step))
-        own = start[order[at:upto]] - base
-        prefix = winnow.prefix_sums(units.codes[base : base + own[-1] + window])
-        out[order[at:upto]] = winnow.span_hash(prefix, own, own + window)
-        at = upto
-    return start, out
+class _Told:
+    """What a block has been told, by kind."""
+
+    def __init__(self, answers: pa.Table):
+        self.answers, self.kinds = answers, answers.column("kind").to_pylist()
+
+    def of(self, kind: int) -> pa.Table:
+        return self.answers.take(pa.array([i for i, k in enumerate(self.kinds) if k == kind], pa.int64()))
+
+    def states(self, rule: int, seg: dict[str, np.ndarray]) -> np.ndarray:
+        part = self.of(rule)
+        akey, skey, state = _longs(part.column("a")), _longs(part.column("b")), _longs(part.column("c"), np.uint8)
+        order = np.argsort(skey)
+        found = _look_up(seg["skey"], skey[order], state[order])
+        crowded = np.unique(akey[state == CROWDED])
+        return np.where(_look_up(seg["akey"], crowded, np.ones(len(crowded), np.uint8)) > 0, CROWDED, found)
 
 
 class _Steps:
@@ -151,53 +150,75 @@ class _Steps:
     def __init__(self, words: bool, window: int, gram: int, buckets: int, hot: int, decide: Callable, finish: Callable):
         self.words, self.window, self.gram, self.buckets, self.hot, self.decide, self.finish = words, window, gram, buckets, hot, decide, finish
 
-    def units(self, payload: bytes) -> tuple[pa.Table, Units, dict[str, np.ndarray]]:
+    def at(self, rule: int) -> tuple[Callable, ...]:
+        """The steps by one rule; Spark counts the arguments of what it is given, `self` included."""
+        hot = self.hot if rule < RULES else 1 << 62
+        return (lambda own, told: self.ask_again(own, told, rule)), (lambda t: _count(t, hot, rule)), (lambda own, told: self.send(own, told, rule)), (lambda t: self.judge(t, rule))
+
+    def units(self, payload: bytes) -> tuple[pa.Table, Units]:
         table = B.from_bytes(payload)
         data, bounds = B.flat(table.column("text"))
-        units = Units(data, bounds, self.words)
-        return table, units, winnow.segments(units.codes, units.bounds, self.window, self.gram)
-
-    def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return table, Units(data, bounds, self.words)
+
+    def segments(self, units: Units, rule: int, among: np.ndarray | None) -> dict[str, np.ndarray]:
+        return winnow.segments(units.codes, units.bounds, self.window, self.window if rule == RULES else self.gram, rule, among)
+
+    def open_windows(self, units: Units, told: _Told, rule: int) -> np.ndarray | None:
+        """Which windows no rule before this one could deal out; None for all."""
+        among = None
+        for before in range(rule):
+            seg = self.segments(units, before, among)
+            crowded = told.states(before, seg) == CROWDED
+            change = np.zeros(len(units.codes) + 1, np.int64)
+            np.add.at(change, seg["first"][crowded], 1)
+            np.add.at(change, seg["last"][crowded] + 1, -1)
+            among = np.cumsum(change[:-1]) > 0
+        return among
+
+    def ask(self, block: int, payload: bytes, told: _Told | None, rule: int) -> pa.Table:
+        units = self.units(payload)[1]
+        seg = self.segments(units, rule, self.open_windows(units, told, rule) if rule else None)
+        skey, at, n = np.unique(seg["skey"], return_index=True, return_counts=True)
+        akey, n = seg["akey"][at], np.minimum(n, 2)
+        if rule < RULES:
+            distinct, first, group, count = np.unique(akey, return_index=True, return_inverse=True, return_counts=True)
+            many = count > min(LISTED, self.hot)
+            keep = ~many[group]
+            keep[first[many]] = True
+            n[first[many]] = MANY
+            skey, akey, n = skey[keep], akey[keep], n[keep]
+        return _ask(akey, skey, n, block, self.buckets)
+
+    def ask_blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                seg = self.units(payload.as_py())[2]
-                skey, at, n = np.unique(seg["skey"], return_index=True, return_counts=True)
-                yield from _ask(seg["akey"][at], skey, np.minimum(n, 2), block, self.buckets).combine_chunks().to_batches()
-
-    def count(self, table: pa.Table) -> pa.Table:
-        return _count(table, self.hot)
+                yield from self.ask(block, payload.as_py(), None, 0).combine_chunks().to_batches()
 
-    def count_windows(self, table: pa.Table) -> pa.Table:
-        """As count, for windows asked for one by one."""
-        out = _count(table, self.hot)
-        return out.set_column(1, "kind", pa.array([OF_WINDOW] * out.num_rows, pa.int32()))
+    def ask_again(self, block: pa.Table, answers: pa.Table, rule: int) -> pa.Table:
+        if not block.num_rows or not answers.num_rows:
+            return _table(ASK, *[[]] * 5)
+        return self.ask(block.column("block")[0].as_py(), block.column("payload")[0].as_py(), _Told(answers), rule)
 
-    def send(self, block: pa.Table, answers: pa.Table) -> pa.Table:
-        """The texts that indexes need, and the hashes of windows of hot akeys."""
+    def send(self, block: pa.Table, answers: pa.Table, rule: int) -> pa.Table:
+        """The texts that indexes need."""
         if not block.num_rows or not answers.num_rows:
-            return _table(SENT, *[[]] * 8)
-        number = block.column("block")[0].as_py()
-        _, units, seg = self.units(block.column("payload")[0].as_py())
-        state = _look_up(seg["skey"], *_known(answers, OF_SEGMENT))
+            return _table(SENT, *[[]] * 7)
+        number, told = block.column("block")[0].as_py(), _Told(answers)
+        units = self.units(block.column("payload")[0].as_py())[1]
+        seg = self.segments(units, rule, self.open_windows(units, told, rule))
+        state = told.states(rule, seg)
         _, place = np.unique(seg["skey"], return_index=True)
         rows = []
-        sent = place[np.isin(state[place], SHIPPED)]
+        sent = place[np.isin(state[place], (CONTEXT, SINGLE))]
         for b, i in _by_bucket(seg["akey"][sent], self.buckets):
             at = sent[i]
             cuts = [units.cut(f, l + self.window) for f, l in zip(seg["first"][at].tolist(), seg["last"][at].tolist(), strict=True)]
             text = [units.data[s:e].tobytes() for s, e in cuts]
             ends = np.cumsum([len(x) for x in text]).astype(np.int64)
-            rows.append((0, b, number, seg["akey"][at].tobytes(), seg["skey"][at].tobytes(), np.where(state[at] == CONTEXT, 2, 1).astype(np.uint8).tobytes(), ends.tobytes(), pa.compress(b"".join(text), "zstd", asbytes=True)))
-        spread = place[np.isin(state[place], SPREAD)]
-        if len(spread):
-            _, key = _windows(units, seg["first"][spread], seg["last"][spread], self.window)
-            n = np.repeat(np.where(state[spread] == HOT_ALL, 2, 1), seg["last"][spread] - seg["first"][spread] + 1)
-            key, inverse = np.unique(key, return_inverse=True)
-            n = np.minimum(np.bincount(inverse, n), 2)
-            rows += [(1, b, number, key[i].tobytes(), key[i].tobytes(), n[i].astype(np.uint8).tobytes(), None, None) for b, i in _by_bucket(key, self.buckets)]
-        return _table(SENT, *(zip(*rows, strict=True) if rows else [[]] * 8))
-
-    def judge(self, table: pa.Table) -> pa.Table:
+            rows.append((b, number, seg["akey"][at].tobytes(), seg["skey"][at].tobytes(), np.where(state[at] == CONTEXT, 2, 1).astype(np.uint8).tobytes(), ends.tobytes(), pa.compress(b"".join(text), "zstd", asbytes=True)))
+        return _table(SENT, *(zip(*rows, strict=True) if rows else [[]] * 7))
+
+    def judge(self, table: pa.Table, rule: int) -> pa.Table:
         """An index over a bucket's texts, some akeys at a time; what repeats, to the blocks of the segments met once."""
         akey, skey, n = _longs(table.column("akey")), _longs(table.column("skey")), _longs(table.column("n"), np.uint8)
         texts, block = [], []
@@ -212,8 +233,8 @@ class _Steps:
             for i, runs in zip(group, self.decide([texts[i] for i in group], [int(n[i]) for i in group], self.window), strict=True):
                 if n[i] == 1:
                     told.setdefault(block[i], []).extend((int(skey[i]), s, e) for s, e in runs)
-        rows = [(b, VERDICT, np.array([x[0] for x in v], np.uint64).tobytes(), np.array([x[1] for x in v], np.int64).tobytes(), np.array([x[2] for x in v], np.int64).tobytes()) for b, v in told.items() if v]
-        return _table(ANSWER, *(zip(*rows, strict=True) if rows else [[]] * 5))
+        rows = [(b, VERDICT + rule, np.array([x[0] for x in v], np.uint64).tobytes(), np.array([x[1] for x in v], np.int64).tobytes(), np.array([x[2] for x in v], np.int64).tobytes(), False, False) for b, v in told.items() if v]
+        return _table(ANSWER, *(zip(*rows, strict=True) if rows else [[]] * 7))
 
     def _groups(self, akey: np.ndarray, order: np.ndarray, size: list[int], limit: int = 1 << 19) -> Iterator[list[int]]:
         """Whole akeys, together at most `limit` bytes unless one akey alone has more."""
@@ -231,28 +252,29 @@ class _Steps:
 
     def apply(self, block: pa.Table, answers: pa.Table) -> pa.Table:
         """Mark what repeated windows cover and let `finish` make rows of it."""
-        table, units, seg = self.units(block.column("payload")[0].as_py())
-        state = _look_up(seg["skey"], *_known(answers, OF_SEGMENT))
+        table, units = self.units(block.column("payload")[0].as_py())
+        told, among = _Told(answers), None
         change = np.zeros(len(units.codes) + 1, np.int64)
 
         def cover(first: np.ndarray, end: np.ndarray) -> None:
             np.add.at(change, first, 1)
             np.add.at(change, end, -1)
 
-        whole = np.isin(state, KNOWN)
-        cover(seg["first"][whole], seg["last"][whole] + self.window)
-        hot = state == HOT_SINGLE
-        if hot.any():
-            start, key = _windows(units, seg["first"][hot], seg["last"][hot], self.window)
-            repeated = _look_up(key, *_known(answers, OF_WINDOW)) == ALL
-            cover(start[repeated], start[repeated] + self.window)
-        rows = [i for i, k in enumerate(answers.column("kind").to_pylist()) if k == VERDICT]
-        told = answers.take(pa.array(rows, pa.int64()))
-        key, lo, hi = _longs(told.column("a")), _longs(told.column("b"), np.int64), _longs(told.column("c"), np.int64)
-        if len(key):
-            order = np.argsort(seg["skey"])
-            at = order[np.searchsorted(seg["skey"][order], key)]
-            cover(seg["first"][at] + lo, seg["first"][at] + hi - 1 + self.window)
+        for rule in range(RULES + 1):
+            if rule:
+                among = self.open_windows(units, told, rule)
+            if among is not None and not among.any():
+                break
+            seg = self.segments(units, rule, among)
+            state = told.states(rule, seg)
+            whole = np.isin(state, (ALL, CONTEXT))
+            cover(seg["first"][whole], seg["last"][whole] + self.window)
+            part = told.of(VERDICT + rule)
+            key, lo, hi = _longs(part.column("a")), _longs(part.column("b"), np.int64), _longs(part.column("c"), np.int64)
+            if len(key):
+                order = np.argsort(seg["skey"])
+                at = order[np.searchsorted(seg["skey"][order], key)]
+                cover(seg["first"][at] + lo, seg["first"][at] + hi - 1 + self.window)
         return self.finish(table, units, np.cumsum(change[:-1]) > 0)
 
 
@@ -269,17 +291,31 @@ def marked(docs: DataFrame, id_col: str, text_col: str, *, words: bool, window:
     """
     if not 1 <= gram <= window:
         raise ValueError("an anchor has to fit its window")
+    if not words:  # a segment has under two windows' bytes: what one index holds has to fit
+        hot = min(hot, bwt.MAX_TEXT // (2 * window + 1))
+        if not hot:
+            raise ValueError(f"windows of over {bwt.MAX_TEXT // 2} bytes do not fit an index")
     packed = B.packed(docs, id_col, text_col, block_bytes)
     step = _Steps(words, window, gram, B.buckets_for(packed), hot, decide, finish)
-    asked = packed.select("block", "payload").mapInArrow(step.ask, ASK)
-    answers = B.kept(asked.groupBy("bucket").applyInArrow(lambda t: step.count(t), ANSWER), "answers")
-    # Spark counts the arguments of what it is given, `self` included: hence no bound methods.
     own = packed.select("block", "payload").groupBy("block")
-    sent = own.cogroup(answers.filter(F.length("c") > 0).groupBy("block")).applyInArrow(lambda own, told: step.send(own, told), SENT)
-    is_hot = answers.filter(" or ".join(f"instr(hex(c), '0{x}') % 2 = 1" for x in SPREAD))
-    if not is_hot.isEmpty():
-        sent = B.kept(sent, "sent")
-        by_window = sent.filter("kind = 1").select(F.col("bucket"), "block", "akey", "skey", "n")
-        answers = answers.unionByName(by_window.groupBy("bucket").applyInArrow(lambda t: step.count_windows(t), ANSWER))
-    verdicts = sent.filter("kind = 0").groupBy("bucket").applyInArrow(lambda t: step.judge(t), ANSWER)
-    return own.cogroup(answers.unionByName(verdicts).groupBy("block")).applyInArrow(lambda own, told: step.apply(own, told), schema)
+    known: list[DataFrame] = []
+    crowded = None
+    for rule in range(RULES + 1):
+        ask_again, count, send, judge = step.at(rule)
+        asked = own.cogroup(crowded.groupBy("block")).applyInArrow(ask_again, ASK) if rule else packed.select("block", "payload").mapInArrow(step.ask_blocks, ASK)
+        answers = B.kept(asked.groupBy("bucket").applyInArrow(count, ANSWER), "answers")
+
+        def with_earlier(told: DataFrame, earlier: DataFrame | None = crowded) -> DataFrame:
+            """The answers by this rule, with what their blocks were told of crowded anchors by those before."""
+            return told if earlier is None else told.unionByName(earlier.join(told.select("block").distinct(), "block", "left_semi"))
+
+        sent = own.cogroup(with_earlier(answers.filter("ships")).groupBy("block")).applyInArrow(send, SENT)
+        known += [answers, sent.groupBy("bucket").applyInArrow(judge, ANSWER)]
+        now = answers.filter("crowded")
+        if now.isEmpty():
+            break
+        crowded = with_earlier(now)
+    told = known[0]
+    for more in known[1:]:
+        told = told.unionByName(more)
+    return own.cogroup(told.groupBy("block")).applyInArrow(lambda own, told: step.apply(own, told), schema)

@@ -6,7 +6,8 @@ in the window, the one with the smallest mixed hash, the leftmost of equals.
 Consecutive windows mostly share their choice; such a run of windows is a
 *segment*, and it travels under the hash of its k-gram (`akey`).  All equal
 windows of the corpus hence lie in segments with one akey, and work on a akey's
-segments alone decides exactly which windows repeat.
+segments alone decides exactly which windows repeat.  Any other order of the hashes
+is as good a rule, and gives other anchors to the same windows.
 """
 
 from __future__ import annotations
@@ -56,12 +57,15 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * up[start] + (end - start).astype(np.uint64))
 
 
-def _piece(codes: np.ndarray, at: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the windows of one piece: the anchor of each start, and the piece's k-gram hashes and prefix sums."""
+def _piece(codes: np.ndarray, window: int, gram: int, rule: int) -> tuple[np.ndarray, ...]:
+    """Of the windows of one piece: the anchor of each start, and the piece's k-gram hashes and prefix sums.
+
+    rule: which order of hashes the smallest is chosen by.
+    """
     prefix = prefix_sums(codes)
     up, _ = _powers(len(prefix))
     grams = mix((prefix[gram:] - prefix[:-gram]) * up[: len(prefix) - gram])
-    low = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    low = ((mix(grams + np.uint64(rule)) if rule else grams) & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     places, width = window - gram + 1, 1
     while width * 2 <= places:
         low = np.minimum(low[:-width], low[width:])
@@ -71,9 +75,11 @@ def _piece(codes: np.ndarray, at: int, window: int, gram: int) -> tuple[np.ndarr
     return (low & _LOW).astype(np.int64), grams, prefix
 
 
-def segments(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+def segments(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int, rule: int = 0, among: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Segments of the sequences codes[bounds[i]:bounds[i+1]]; sequences under `window` units have none.
 
+    among: for each unit, whether the window that starts there takes part; all do where left out.
+
     first, last: starts of the segment's first and last window; akey: the anchor's hash;
     skey: the hash of codes[first:last + window].  Long inputs go through in pieces; where a
     piece ends a segment may be cut in two, which changes no window's akey.
@@ -83,12 +89,15 @@ def segments(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> d
     step = (1 << _PIECE_BITS) - window
     found = []
     for at in range(0, max(len(codes) - window + 1, 0), step):
-        anchor, grams, prefix = _piece(codes[at : at + step + window - 1], at, window, gram)
-        starts = np.flatnonzero(np.arange(at + window, at + window + len(anchor)) <= seq_end[at : at + len(anchor)])
+        if among is not None and not among[at : at + step].any():
+            continue
+        anchor, grams, prefix = _piece(codes[at : at + step + window - 1], window, gram, rule)
+        inside = np.arange(at + window, at + window + len(anchor)) <= seq_end[at : at + len(anchor)]
+        starts = np.flatnonzero(inside if among is None else inside & among[at : at + len(anchor)])
         if not len(starts):
             continue
         own, ends = anchor[starts], seq_end[at + starts]
-        change = np.flatnonzero((own[1:] != own[:-1]) | (ends[1:] != ends[:-1]))
+        change = np.flatnonzero((own[1:] != own[:-1]) | (ends[1:] != ends[:-1]) | (starts[1:] != starts[:-1] + 1))
         first = starts[np.concatenate([[0], change + 1])]
         last = starts[np.concatenate([change, [len(starts) - 1]])]
         found.append((first + at, last + at, grams[anchor[first]], span_hash(prefix, first, last + window)))

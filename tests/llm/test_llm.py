@@ -43,7 +43,7 @@ def covered(sequence, counts, window):
     return mask
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [2048, 3, 1])
 def test_suffix_dedup(docs, rows, hot):
     from reelgrid.llm.suffix_dedup import suffix_dedup
 
@@ -58,7 +58,7 @@ def test_suffix_dedup(docs, rows, hot):
     assert sorted(map(key, suffix_dedup(docs, with_text=False, hot=hot).collect())) == sorted(map(key, want))
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [2048, 3, 1])
 def test_substring_dedup(docs, rows, hot):
     from reelgrid.llm.substring_dedup import substring_dedup
 
