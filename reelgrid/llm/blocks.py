@@ -126,10 +126,10 @@ def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
     return kept_by(slim.mapInArrow(bundle, BLOCKS), "blocks", "block")
 
 
-def buckets_for(blocks: DataFrame) -> int:
-    """A bucket for every four blocks' worth of bytes, 16 at least."""
+def buckets_for(blocks: DataFrame, each: int = 4) -> int:
+    """A bucket for every `each` blocks' worth of bytes, 16 at least."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(16, total // (4 * BLOCK_BYTES))
+    return max(16, total // (each * BLOCK_BYTES))
 
 
 def id_type(docs: DataFrame, id_col: str) -> str:

@@ -37,8 +37,10 @@ SYMBOLS = 256 - 26 + 1
 _MASK = np.uint64((1 << BITS) - 1)
 _INDEX = 64 - BITS * (ORDER + 1)
 _PIECE = 1 << _INDEX
-#: Blocks whose counts or questions one task takes at a time.
+#: Blocks whose counts one task merges at a time.
 FAN = 64
+#: Bytes of questions to one part of the model that one task answers; where there are more, tasks share them.
+ASKED_BYTES = 64 << 20
 
 GRAM, TOKEN = 0, 1
 ASK = "kind int, bucket long, block long, keys binary, n binary"
@@ -296,7 +298,7 @@ def _score(own: pa.Table, told: pa.Table, buckets: int, ends: int, total: int, d
     )
 
 
-def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", asked_bytes: int = ASKED_BYTES) -> DataFrame:
     """Score every document by a model of those for which `train` holds.
 
     One row per row of docs: id, held_out, n_tokens (words and one end), n_known,
@@ -307,10 +309,10 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     each; other columns are not read; an empty table gives an empty result.
     """
     packed = B.packed(docs, id_col, text_col, more=[F.coalesce(train, F.lit(False)).cast("int").alias("train")])
-    buckets = B.buckets_for(packed)
+    buckets = B.buckets_for(packed, each=1)
     blocks = packed.count()
-    asked = B.kept(packed.select("block", "payload").mapInArrow(lambda it: _ask(it, buckets), ASK).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN) or 1))), "asked")
-    merged, groups = asked.drop("salt"), blocks
+    asked = B.kept(packed.select("block", "payload").mapInArrow(lambda it: _ask(it, buckets), ASK), "asked")
+    merged, groups = asked, blocks
     while True:
         groups = -(-groups // FAN)
         merged = merged.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(max(1, groups)))).groupBy("kind", "bucket", "block").applyInArrow(lambda t: _merge(t), ASK)
@@ -336,9 +338,12 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
             pairs[r["pair"] >> BITS, r["pair"] & int(_MASK)] = r["n"]
     ends = int(pairs[:, END].sum())
     total, different = words + ends, different + (ends > 0)
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((-(-blocks // FAN) or 1) - 1).cast("long")))
-    copies = model.select("kind", "bucket", salts.alias("salt"), "block", "keys", "n")
-    questions = asked.withColumn("n", F.substring("n", 1, 8))  # their number alone; counts stay behind
+    # A part of the model travels once, and once more for each ASKED_BYTES of questions beyond the first: rows here are all questions / ASKED_BYTES at most.
+    crowds = asked.groupBy("kind", "bucket").agg(F.ceil(F.sum(F.length("keys")) / F.lit(asked_bytes)).cast("long").alias("tasks")).filter("tasks > 1").collect()
+    crowds = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in crowds], "kind int, bucket long, tasks long"))
+    tasks = F.coalesce("tasks", F.lit(1).cast("long"))
+    copies = model.join(crowds, ["kind", "bucket"], "left").select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("salt"), "block", "keys", "n")
+    questions = asked.join(crowds, ["kind", "bucket"], "left").select("kind", "bucket", F.pmod(F.xxhash64("block"), tasks).alias("salt"), "block", "keys", F.substring("n", 1, 8).alias("n"))  # their number alone; counts stay behind
     told = questions.groupBy("kind", "bucket", "salt").cogroup(copies.groupBy("kind", "bucket", "salt")).applyInArrow(lambda a, m: _answer(a, m, pairs), TOLD)
     schema = f"id {B.id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.select("block", "payload").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda o, t: _score(o, t, buckets, ends, total, different), schema)
