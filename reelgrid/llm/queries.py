@@ -25,7 +25,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_captures(_read(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
     capture = warc.transactions(warc.read_records(spark, path, with_payload=False))
     page = F.map_from_entries(F.col("metadata")[0]["fields"])["page-id"]
-    capture = capture.select(F.when(page != "", page).cast("long").alias("page_id"), "response.*")
+    capture = blocks.kept(capture.select(F.when(page != "", page).cast("long").alias("page_id"), "response.record_id", "response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_digest"), "captures")
     known = capture.filter("record_type = 'response'").groupBy(F.col("record_id").alias("of")).agg(F.max("page_id").alias("refers_page"))
     resolved = capture.join(known, F.col("refers_to") == F.col("of"), "left")
     return resolved.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))

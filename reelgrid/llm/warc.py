@@ -23,7 +23,8 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-RECORDS_A_FILE = 6000
+#: Bytes of records that a file holds, by their mean size; a reader holds a file at once.
+FILE_BYTES = 32 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,7 +47,7 @@ def _record(kind: str, headers: list[tuple[str, Column | str]], block: Column) -
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
 
 
-def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write every row as request, response or revisit, and metadata, to gzip archives under path.
 
     Of equal payloads of at least `least_revisit_bytes` bytes, that with the largest id is the
@@ -73,7 +74,8 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     request = _record("request", [("WARC-Record-ID", _urn("request", F.col("own"))), ("WARC-Concurrent-To", F.col("own")), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.when(rest == "", "/").otherwise(rest), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))
     metadata = _record("metadata", [("WARC-Record-ID", _urn("metadata", F.col("own"))), ("WARC-Concurrent-To", F.col("own")), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")))
     records = named.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    mean = rows.agg(F.avg(F.col("bytes") + 2000) / 3).first()[0] or 1.0
+    records.write.option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
 
 
 RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>"
@@ -148,18 +150,20 @@ def transactions(records: DataFrame) -> DataFrame:
 
     Request and metadata are null or empty where no record names the response; records that
     name none that exists are left out.  Of several requests the one with the smallest id
-    counts; records read twice count once.
+    counts; equal metadata records count once.  A response that was written twice, for rows
+    alike in all that is written, is two rows.  An empty table gives an empty result.
     """
     body = [c for c in records.columns if c not in ("record_type", "concurrent_to")]
     kind = F.col("record_type")
-    response = records.filter(kind.isin("response", "revisit")).select("target_uri", F.col("record_id").alias("of"), F.struct("record_type", *body).alias("response"))
+    captured = kind.isin("response", "revisit")
+    of = F.when(captured, F.col("record_id")).when(kind.isin("request", "metadata"), F.col("concurrent_to"))
     side = F.struct("record_id", "target_uri", "fields")
-    request = records.filter((kind == "request") & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("of")).agg(F.min_by(side, "record_id").alias("request"))
-    metadata = (
-        records.filter((kind == "metadata") & F.col("concurrent_to").isNotNull())
-        .groupBy(F.col("concurrent_to").alias("of"), "record_id")
-        .agg(F.first(side).alias("one"))
-        .groupBy("of")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("record_id"), F.col("one.target_uri"), F.map_entries("one.fields").alias("fields")))).alias("metadata"))
+    entries = F.struct("record_id", "target_uri", F.map_entries("fields").alias("fields"))
+    together = records.filter(of.isNotNull()).groupBy(of.alias("of")).agg(
+        F.first(F.when(captured, F.struct("record_type", *body)), ignorenulls=True).alias("response"),
+        F.count_if(captured).alias("copies"),
+        F.min_by(F.when(kind == "request", side), F.when(kind == "request", F.col("record_id"))).alias("request"),
+        F.sort_array(F.collect_set(F.when(kind == "metadata", entries))).alias("metadata"),
     )
-    return response.join(request, "of", "left").join(metadata, "of", "left").drop("of")
+    told = together.filter("copies > 0").select("response", "request", "metadata", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return told.select(F.col("response.target_uri").alias("target_uri"), "response", "request", "metadata")

@@ -157,15 +157,52 @@ def test_packing(docs, rows):
 
 
 def test_ring(docs, rows):
-    from reelgrid.llm.ring import owners, ring_shards
+    from reelgrid.llm import ring
 
-    got = ring_shards(docs).collect()
+    got = ring.ring_shards(docs).collect()
     assert sorted((str(r["id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     count = Counter(r["shard"] for r in got)
     assert max(count.values()) - min(count.values()) <= 1
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in count.items())
-    before, after = owners(8), owners(9)
-    assert all(b[0] == a[0] or a[0] == 8 for b, a in zip(before, after))
+    # By hand: slices by text, first node clockwise, what overflows goes on to the next other shard with room.
+    seats = sorted((int(hashlib.md5(f"shard {s} node {v}".encode()).hexdigest()[:15], 16), s) for s in range(8) for v in range(64))
+    held = Counter(int(hashlib.md5((t or "").encode()).hexdigest()[:12], 16) % 1024 for _, t in rows)
+    room = [len(rows) // 8 + (s < len(rows) % 8) for s in range(8)]
+    want, open_ = Counter(), {}
+    for s in sorted(held):
+        point = s * (2**60 // 1024)
+        round_ = [x for p, x in seats if p >= point] + [x for p, x in seats if p < point]
+        open_[s] = (list(dict.fromkeys(round_)), held[s])
+    for k in range(8):
+        for s, (order, n) in open_.items():
+            take = min(n, room[order[k]])
+            room[order[k]] -= take
+            want[s, order[k]] += take
+            open_[s] = (order, n - take)
+    place = {(str(i), zlib.crc32((t or "").encode())): int(hashlib.md5((t or "").encode()).hexdigest()[:12], 16) % 1024 for i, t in rows}
+    assert Counter((place[str(r["id"]), r["text_crc32"]], r["shard"]) for r in got) == +want
+
+
+def test_ring_grows():
+    from reelgrid.llm import ring
+
+    before, after = ring.owners(8), ring.owners(9)
+    assert all(b == a or a == 8 for b, a in zip(before, after)) and 0.04 < np.mean(before != after) < 0.25
+    assert len(set(ring.owners(1000, ring.slices_for(1000)).tolist())) == 1000
+    counts = np.random.default_rng(1).integers(0, 400, 1024)
+    mean = counts.sum() / 8
+
+    def moved(load):
+        x, y = (ring.spread(counts, s, load) for s in (8, 9))
+        return sum(max(0, n - dict(b).get(s, 0)) for a, b in zip(x, y) for s, n in a) / counts.sum()
+
+    for load in (1.0, 1.25):
+        held = Counter()
+        for parts in ring.spread(counts, 8, load):
+            for s, n in parts:
+                held[s] += n
+        assert sum(held.values()) == counts.sum() and max(held.values()) <= math.ceil(load * mean)
+    assert moved(1.25) < 0.3 and moved(1.0) < 0.5
 
 
 def test_warc(spark):
@@ -173,6 +210,14 @@ def test_warc(spark):
 
     pages = spark.createDataFrame([(1, "http://a.b/c?d", "same"), (2, None, "same"), (3, "http://x", "same"), (None, "u", None), (5, "http://q/", ""), (6, "http://q/", "WARC/1.1\r\n\r\nWARC-Type: response\r\n")], "page_id long, url string, html string")
     path = blocks.shared_path(spark, "warc")
+    extra = pages.withColumn("of", F.lit(1)).withColumn("bytes", F.lit("clash")).withColumn("digest", F.lit(None).cast("string"))
+    warc.write_captures(extra.unionByName(extra.filter("page_id = 1")), path, file_bytes=4000)
+    again = warc.transactions(warc.read_records(spark, path)).collect()
+    assert len(again) == 7 and all(r["request"] is not None and len(r["metadata"]) == 1 for r in again)
+    none = blocks.shared_path(spark, "warc")
+    warc.write_captures(extra.filter("false"), none)
+    assert warc.transactions(warc.read_records(spark, none)).count() == 0
+    path = blocks.shared_path(spark, "warc")
     warc.write_captures(pages, path)
     got = warc.transactions(warc.read_records(spark, path)).select("response.*", F.col("metadata")[0]["fields"][0]["value"].alias("page"), "request.fields").collect()
     kinds = {r["page"]: (r["record_type"], bytes(r["payload"])) for r in got}
@@ -201,7 +246,8 @@ def test_embedding_groups(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(900, 905))
 
 
-def test_ppm(docs, rows):
+@pytest.mark.parametrize("asked_bytes", [1 << 26, 2000])
+def test_ppm(docs, rows, asked_bytes):
     from reelgrid.llm import ppm
 
     docs, rows = docs.filter("doc_id < 40 or doc_id >= 5000 or doc_id is null"), [r for r in rows if r[0] is None or r[0] < 40 or r[0] >= 5000]
@@ -241,7 +287,7 @@ def test_ppm(docs, rows):
                 out -= math.log10(231 - len(out_of))
         return out
 
-    got = {(r["id"], r["n_tokens"], round(r["score"], 5)): r for r in ppm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()}
+    got = {(r["id"], r["n_tokens"], round(r["score"], 5)): r for r in ppm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, asked_bytes=asked_bytes).collect()}
     for i, t in rows:
         w = [*words.findall(low(t)), "\0"]
         r = got[i, len(w), round(score(t), 5)]
