@@ -33,7 +33,7 @@ MAX_POSTINGS = 8_000_000
 CALIBRATE = 5
 SLICE_BYTES = 4 << 20
 #: Terms of a query that are summed up before it is asked again whether the rest matters.
-TERMS = 24
+TERMS = 40
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -46,25 +46,26 @@ class BlockMaxIndex:
     """Unit vectors of examples in blocks; exact nearest neighbours by cosine."""
 
     def __init__(self, n_terms: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, ids: list, width: int = 64):
+        """doc, term, weight: by doc."""
         # Examples with the same strongest word stand together: bounds of blocks are then tight.
+        head = np.flatnonzero(np.diff(doc, prepend=-1))
+        heaviest = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, head), np.diff(np.append(head, len(doc)))))
         strongest = np.zeros(len(label), np.int64)
-        by = np.argsort(weight, kind="stable")
-        strongest[doc[by]] = term[by]
-        place = np.empty(len(label), np.int64)
+        strongest[doc[heaviest]] = term[heaviest]
         seat = np.lexsort((np.arange(len(label)), strongest))
+        place = np.empty(len(label), np.int32)
         place[seat] = np.arange(len(label))
-        self.label, self.ids = label[seat], [ids[i] for i in seat]
-        at = place[doc]
-        self.blocks = -(-len(label) // width)
-        order = np.lexsort((at, term))
-        self.at, self.weight = at[order].astype(np.int32), weight[order].astype(np.float32)
+        self.label, self.ids = label[seat], [ids[i] for i in seat.tolist()]
+        self.size, self.width, self.blocks = len(label), width, -(-len(label) // width)
+        order = np.lexsort((place[doc], term))
+        self.at, self.weight = place[doc[order]], weight[order].astype(np.float32)
         cell = term[order] * self.blocks + self.at // width
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.start = np.append(head, len(cell)).astype(np.int32)
         self.block = (cell[head] % self.blocks).astype(np.int32)
         self.bound = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0, np.float32)
         self.cells = np.searchsorted(cell[head] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
-        self.width, self.top = width, np.zeros(n_terms, np.float32)
+        self.top = np.zeros(n_terms, np.float32)
         np.maximum.at(self.top, np.repeat(np.arange(n_terms), np.diff(self.cells)), self.bound)
 
     def __getstate__(self) -> dict:
@@ -77,24 +78,29 @@ class BlockMaxIndex:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples over 0; of equals the first."""
-        size, most = len(self.label), weight * self.top[term]
-        order = np.argsort(-most, kind="stable")
+        most = weight * self.top[term]
+        order = np.argsort(-most, kind="stable")[: np.count_nonzero(most)]
         term, weight, most = term[order], weight[order], most[order]
         rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # what terms from here on can add at most
+        least = 0.0
         sums, (place, value) = np.zeros(self.blocks * self.width), self.wide
         first, end = self.start[self.cells[term]].tolist(), self.start[self.cells[term + 1]].tolist()
-        at, least = 0, 0.0
+        at = 0
         while at < len(term) and (rest[at] >= least or not least):
-            upto = at + TERMS
-            for s, e, w in zip(first[at:upto], end[at:upto], weight[at:upto].tolist(), strict=True):
-                np.add.at(sums, place[s:e], w * value[s:e])
-            at = min(upto, len(term))
-            if k < size:
-                least = np.partition(sums, len(sums) - k)[len(sums) - k]
+            upto = min(at + TERMS, len(term))
+            lists = [slice(s, e) for s, e in zip(first[at:upto], end[at:upto], strict=True)]
+            count = [x.stop - x.start for x in lists]
+            sums += np.bincount(np.concatenate([place[x] for x in lists]), np.concatenate([value[x] for x in lists]) * np.repeat(weight[at:upto], count), len(sums))
+            at = upto
+            if k < self.size:
+                least = max(least, np.partition(sums, len(sums) - k)[len(sums) - k])
         if at < len(term):
             # No new example can come in: only blocks that still reach the k-th best are looked at further.
+            able = sums.reshape(self.blocks, self.width).max(axis=1) + rest[at] >= least - 1e-9
             n = self.cells[term[at:] + 1] - self.cells[term[at:]]
             cell, own = _ranges(self.cells[term[at:]], n), np.repeat(weight[at:], n)
+            some = able[self.block[cell]]
+            cell, own = cell[some], own[some]
             block = self.block[cell]
             able = sums.reshape(self.blocks, self.width).max(axis=1) + np.bincount(block, own * self.bound[cell], self.blocks) >= least - 1e-9
             some = able[block]
@@ -103,7 +109,7 @@ class BlockMaxIndex:
             post = _ranges(start, count)
             sums += np.bincount(place[post], np.repeat(own[some], count) * value[post], len(sums))
             sums.reshape(self.blocks, self.width)[~able] = 0
-        there = np.flatnonzero(sums >= least) if least > 0 else np.flatnonzero(sums)
+        there = np.flatnonzero(sums >= least - 1e-9) if least > 0 else np.flatnonzero(sums)
         best = there[np.lexsort((there, -sums[there]))[:k]]
         return best, sums[best]
 
@@ -170,15 +176,15 @@ def _logit(vote: np.ndarray) -> np.ndarray:
     return np.log(vote + 1e-3) - np.log(1 - vote + 1e-3)
 
 
-def _learn(codes: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, ids: list, k: int) -> Votes:
+def _learn(size: np.ndarray, code: np.ndarray, count: np.ndarray, label: np.ndarray, ids: list, k: int) -> Votes:
     """Words, weights, index and curve from the examples' distinct words and their counts."""
     inside = np.arange(len(label)) % CALIBRATE != CALIBRATE - 1
     if not (label[inside].any() and (label[inside] == 0).any()):
         inside[:] = True  # all of one class: nothing to calibrate by
-    size = np.array([len(c) for c in codes], np.int64)
-    doc, code, count = np.repeat(np.arange(len(label)), size), np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([np.zeros(0, np.int32), *counts])
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), size)
     here = inside[doc]
-    terms, term = np.unique(code[here], return_inverse=True)
+    terms = np.unique(code[here])
+    term = np.searchsorted(terms, code[here])
     total, toxic = int(inside.sum()), float(label[inside].sum())
     n = np.bincount(term, minlength=len(terms)).astype(np.float64)
     bad = np.bincount(term, label[doc[here]], len(terms))
@@ -189,7 +195,9 @@ def _learn(codes: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray,
     if not votes.weight.any():
         return votes
     seat = np.where(inside, np.cumsum(inside), np.cumsum(~inside)) - 1
-    votes.index = BlockMaxIndex(len(terms), *votes.vectors(seat[doc[here]], code[here], count[here]), label[inside], [i for i, x in zip(ids, inside.tolist(), strict=True) if x])
+    at, term, weight = votes.vectors(seat[doc[here]], code[here], count[here])
+    votes.index = BlockMaxIndex(len(terms), at, term, weight, label[inside], [ids[i] for i in np.flatnonzero(inside).tolist()])
+    del at, term, weight
     out = votes.votes(seat[doc[~here]], code[~here], count[~here], int((~inside).sum()))[0]
     votes.calibrate(out, label[~inside])
     return votes
@@ -217,9 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     size = kept.select("hash", "id", "size").orderBy("hash", "id").toArrow()  # max_examples rows of three numbers
     fits = int(np.searchsorted(np.cumsum(size.column("size").to_numpy()), max_postings, "right"))
     last = size.column("hash")[fits - 1].as_py() if fits else None
-    rows = kept.filter(F.col("hash") <= F.lit(last)).orderBy("hash", "id").toArrow().slice(0, fits)  # max_postings words at most
-    codes, counts = ([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()] for c, kind in (("codes", np.uint64), ("counts", np.int32)))
-    return _learn(codes, counts, rows.column("label").to_numpy().astype(np.float64), rows.column("id").to_pylist(), k)
+    # max_postings words at most, a partition at a time
+    rows = [(r["hash"], r["id"], r["label"], bytes(r["codes"]), bytes(r["counts"])) for r in kept.filter(F.col("hash") <= F.lit(last)).toLocalIterator()]
+    rows = sorted(rows, key=lambda r: r[:2])[:fits]
+    size = np.array([len(r[3]) // 8 for r in rows], np.int64)
+    code, count = np.frombuffer(b"".join(r[3] for r in rows), np.uint64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+    label, ids = np.array([r[2] for r in rows], np.float64), [r[1] for r in rows]
+    del rows
+    return _learn(size, code, count, label, ids, k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, with_row: bool = False) -> DataFrame:
