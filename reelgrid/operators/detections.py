@@ -215,13 +215,15 @@ def jn_iou_owner(t: Tables) -> DataFrame:
     return best.filter("k = 1 AND iou >= 0.3 AND (second IS NULL OR iou - second >= 0.1)").select("frame", "me", F.col("other").alias("owner"))
 
 
-@query("jn_expanded_competitor", DETECTIONS + "SELECT DISTINCT p.frame FROM det p JOIN det o ON p.frame = o.frame AND o.idx <> p.idx WHERE p.idx = 0 AND o.x1 <= p.x2 + 0.15 * (p.x2 - p.x1) AND o.x2 >= p.x1 - 0.15 * (p.x2 - p.x1) AND o.y1 <= p.y2 + 0.15 * (p.y2 - p.y1) AND o.y2 >= p.y1 - 0.15 * (p.y2 - p.y1)")
+@query("jn_expanded_competitor", DETECTIONS + f"SELECT DISTINCT p.frame FROM (SELECT *, conf * {AREA_SQL} AS v FROM det) p JOIN (SELECT *, conf * {AREA_SQL} AS v FROM det) o ON p.frame = o.frame AND o.idx <> p.idx WHERE p.idx = 0 AND ((o.x1 < p.x2 + 0.15 * (p.x2 - p.x1) AND o.x2 > p.x1 - 0.15 * (p.x2 - p.x1) AND o.y1 < p.y2 + 0.15 * (p.y2 - p.y1) AND o.y2 > p.y1 - 0.15 * (p.y2 - p.y1)) OR floor(o.v * 1500 + 0.5) >= floor(p.v * 1e3 + 0.5))")
 def jn_expanded_competitor(t: Tables) -> DataFrame:
-    d = t.detections.select("frame", "idx", "x1", "y1", "x2", "y2")
-    p = d.filter("idx = 0").select("frame", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
+    """Frames where another box overlaps the first one grown by 15 %, or is two thirds as prominent."""
+    d = t.detections.select("frame", "idx", "x1", "y1", "x2", "y2", (F.col("conf") * area("")).alias("v"))
+    p = d.filter("idx = 0").select("frame", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2", "v")])
     gx, gy = 0.15 * (F.col("p_x2") - F.col("p_x1")), 0.15 * (F.col("p_y2") - F.col("p_y1"))
-    touch = (F.col("x1") <= F.col("p_x2") + gx) & (F.col("x2") >= F.col("p_x1") - gx) & (F.col("y1") <= F.col("p_y2") + gy) & (F.col("y2") >= F.col("p_y1") - gy)
-    return d.filter("idx <> 0").join(p, "frame").filter(touch).select("frame").distinct()
+    touch = (F.col("x1") < F.col("p_x2") + gx) & (F.col("x2") > F.col("p_x1") - gx) & (F.col("y1") < F.col("p_y2") + gy) & (F.col("y2") > F.col("p_y1") - gy)
+    weighs = F.floor(F.col("v") * 1500 + 0.5) >= F.floor(F.col("p_v") * 1e3 + 0.5)
+    return d.filter("idx <> 0").join(p, "frame").filter(touch | weighs).select("frame").distinct()
 
 
 @query("jn_pose_track", DETECTIONS + "SELECT d.frame, d.idx, p.cue FROM det d LEFT JOIN (SELECT frame, idx, qty AS cue FROM det WHERE qty >= 25) p ON d.frame = p.frame AND d.idx = p.idx")

@@ -74,11 +74,17 @@ def trk_gap_limit(t: Tables) -> DataFrame:
     return t.frames.select("video", "frame", by_age.alias("by_age"), F.least(asked, careful, by_age).alias("gap"))
 
 
-@query("sal_refresh", GRIDS + f"SELECT a.vec_id, a.i, {Q.format('0.65::DOUBLE * a.v + 0.35::DOUBLE * b.v')} AS v FROM cells a JOIN cells b ON a.vec_id = b.vec_id + 1 AND a.i = b.i")
+@query("sal_refresh", GRIDS + f"SELECT vec_id, i, {Q.format('0.65::DOUBLE * v + 0.35::DOUBLE * old')} AS v FROM (SELECT vec_id, i, v, lag(v) OVER w AS old, lag(vec_id) OVER w AS prior FROM cells WINDOW w AS (PARTITION BY i ORDER BY vec_id)) WHERE prior = vec_id - 1")
 def sal_refresh(t: Tables) -> DataFrame:
-    """A fresh map blended with the one before, cell by cell."""
-    now, before = t.cells.select("vec_id", "i", "v"), t.cells.select((F.col("vec_id") + 1).alias("vec_id"), "i", F.col("v").alias("old"))
-    return now.join(before, ["vec_id", "i"]).select("vec_id", "i", q6(0.65 * F.col("v") + 0.35 * F.col("old")).alias("v"))
+    """A fresh map blended with the one before, cell by cell; maps with a cell that is not within [0, 1] are refused."""
+    return blended(t.cells)
+
+
+def blended(cells: DataFrame, share: float = 0.65) -> DataFrame:
+    per = Window.partitionBy("i").orderBy("vec_id")
+    fine = F.col("v").isNotNull() & ~F.isnan("v") & F.col("v").between(-1e-6, 1 + 1e-6)
+    both = cells.withColumns({"old": F.lag("v").over(per), "prior": F.lag("vec_id").over(per)}).filter(F.col("prior") == F.col("vec_id") - 1)
+    return both.filter(fine).select("vec_id", "i", q6(share * F.col("v") + (1 - share) * F.col("old")).alias("v"))
 
 
 @query("dec_lookahead", FRAMES + f"SELECT video, frame, {Q.format('value + greatest(-1920.0::DOUBLE, least(1920.0::DOUBLE, (value - prior) * 30)) * (0.15::DOUBLE * (itv / 3.0::DOUBLE))')} AS target FROM (SELECT *, lag(value) OVER (PARTITION BY video, scene ORDER BY frame) AS prior FROM frames) WHERE prior IS NOT NULL")

@@ -181,14 +181,14 @@ def win_fixed_interval(t: Tables) -> DataFrame:
     return t.frames.withColumn("k", F.row_number().over(per_scene())).filter("(k - 1) % 5 = 0").select("video", "frame")
 
 
-COUNTERS = FRAMES + ", kinds AS (SELECT DISTINCT event_type AS key FROM frames), counters AS (SELECT video, frame, segment_no, key, CAST(sum(CASE WHEN event_type = key THEN 1 ELSE 0 END) OVER (PARTITION BY video, key ORDER BY frame) AS BIGINT) AS total FROM (SELECT *, scene * 1000 + win AS segment_no FROM frames) CROSS JOIN kinds)\n"
+COUNTERS = FRAMES + ", kinds AS (SELECT DISTINCT event_type AS key FROM frames), counters AS (SELECT video, frame, segment_no, key, CAST(sum(CASE WHEN event_type = key THEN 1 ELSE 0 END) OVER (PARTITION BY video, key ORDER BY frame) AS BIGINT) AS total FROM (SELECT *, scene * 4294967296 + win AS segment_no FROM frames) CROSS JOIN kinds)\n"
 
 
 def counters(frames: DataFrame) -> DataFrame:
     """Running totals of each kind of event, a row per frame and kind; the kinds are a handful and known from the data."""
     kinds = frames.select(F.col("event_type").alias("key")).distinct()
     total = F.sum((F.col("event_type") == F.col("key")).cast("long")).over(Window.partitionBy("video", "key").orderBy("frame"))
-    return frames.withColumn("segment_no", F.col("scene") * 1000 + F.col("win")).crossJoin(kinds).select("video", "frame", "segment_no", "key", total.alias("total"))
+    return frames.withColumn("segment_no", F.col("scene") * (1 << 32) + F.col("win")).crossJoin(kinds).select("video", "frame", "segment_no", "key", total.alias("total"))
 
 
 @query("win_cumulative_counters", COUNTERS + "SELECT video, frame, key, total FROM counters")
@@ -212,10 +212,16 @@ def agg_delta(t: Tables) -> DataFrame:
     return deltas(agg_snapshot(t)).select("video", "segment_no", "key", "delta")
 
 
-@query("aud_counter_monotone", "SELECT 1::BIGINT AS video, 1::BIGINT AS frame, 'x' AS key WHERE false")
+@query("aud_counter_monotone", COUNTERS + "SELECT video, frame, key FROM (SELECT *, lag(total) OVER (PARTITION BY video, key ORDER BY frame) AS before FROM (SELECT video, frame, key, total - CASE WHEN (video + frame) % 31 = 0 THEN 2 ELSE 0 END AS total FROM counters)) WHERE total < before")
 def aud_counter_monotone(t: Tables) -> DataFrame:
+    told = counters(t.frames).withColumn("total", F.col("total") - F.when((F.col("video") + F.col("frame")) % 31 == 0, 2).otherwise(0))
+    return falls(told)
+
+
+def falls(told: DataFrame) -> DataFrame:
+    """Frames at which a counter (video, key, frame, total) is less than before."""
     before = F.lag("total").over(Window.partitionBy("video", "key").orderBy("frame"))
-    return counters(t.frames).withColumn("before", before).filter("total < before").select("video", "frame", "key")
+    return told.withColumn("before", before).filter("total < before").select("video", "frame", "key")
 
 
 @query("snk_progress", FRAMES + "SELECT video, frame, concat('Frame ', frame) AS line FROM frames WHERE frame % 50 = 0")

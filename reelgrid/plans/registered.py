@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import audits, detections, framing, runs, timeline  # noqa: F401
+from ..operators import audits, detections, folds, framing, runs, shapes, timeline  # noqa: F401
 from .catalog import QUERIES, SQL, bound
 
 __all__ = ["QUERIES", "SQL", "bound"]
