@@ -59,7 +59,8 @@ class BlockMaxIndex:
         self.size, self.width, self.blocks = len(label), width, -(-len(label) // width)
         order = np.lexsort((place[doc], term))
         self.at, self.weight = place[doc[order]], weight[order].astype(np.float32)
-        cell = term[order] * self.blocks + self.at // width
+        cell = term[order].astype(np.int64) * self.blocks + self.at // width
+        del order
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.start = np.append(head, len(cell)).astype(np.int32)
         self.block = (cell[head] % self.blocks).astype(np.int32)
@@ -125,10 +126,18 @@ class Votes:
     def vectors(self, doc: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of texts' distinct words (by text) and their counts, the known ones: text, word number and unit weight."""
         term = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
-        weight = np.where(self.terms[term] == code, self.weight[term], 0) * (1 + np.log(count))
-        doc, term, weight = (x[weight > 0] for x in (doc, term, weight))
-        length = np.sqrt(np.bincount(doc, weight * weight))
-        return doc, term, weight / length[doc]
+        known = self.terms[term] == code
+        return self.weighed(doc[known], term[known], count[known])
+
+    def weighed(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As vectors, of words by their numbers."""
+        weight = self.weight[term]
+        weight *= 1 + np.log(count)
+        some = weight > 0
+        if not some.all():
+            doc, term, weight = doc[some], term[some], weight[some]
+        weight /= np.sqrt(np.bincount(doc, weight * weight))[doc]
+        return doc, term, weight
 
     def votes(self, doc: np.ndarray, code: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, list[list]]:
         """Of each text the vote of its neighbours (NaN without any), and the ids of up to five of them."""
@@ -176,30 +185,38 @@ def _logit(vote: np.ndarray) -> np.ndarray:
     return np.log(vote + 1e-3) - np.log(1 - vote + 1e-3)
 
 
-def _learn(size: np.ndarray, code: np.ndarray, count: np.ndarray, label: np.ndarray, ids: list, k: int) -> Votes:
-    """Words, weights, index and curve from the examples' distinct words and their counts."""
+def _learn(held: dict, k: int) -> Votes:
+    """Words, weights, index and curve from the examples' distinct words (code, count; size for each example), label and ids.
+
+    Takes code and count out of `held`, so that the driver holds them once.
+    """
+    label, ids = held["label"], held["ids"]
     inside = np.arange(len(label)) % CALIBRATE != CALIBRATE - 1
     if not (label[inside].any() and (label[inside] == 0).any()):
         inside[:] = True  # all of one class: nothing to calibrate by
-    doc = np.repeat(np.arange(len(label), dtype=np.int32), size)
-    here = inside[doc]
-    terms = np.unique(code[here])
-    term = np.searchsorted(terms, code[here])
+    seat = np.where(inside, np.cumsum(inside), np.cumsum(~inside)).astype(np.int32) - 1
+    here, doc = np.repeat(inside, held["size"]), np.repeat(seat, held["size"])
+    code, count = held.pop("code"), held.pop("count")
+    apart = doc[~here], code[~here], count[~here]
+    doc, code, count = doc[here], code[here], count[here]
+    del here
+    terms = np.unique(code)
+    term = np.searchsorted(terms, code).astype(np.int32)
+    del code
     total, toxic = int(inside.sum()), float(label[inside].sum())
     n = np.bincount(term, minlength=len(terms)).astype(np.float64)
-    bad = np.bincount(term, label[doc[here]], len(terms))
+    bad = np.bincount(term, label[inside][doc], len(terms))
     spread = n * (total - n) * toxic * (total - toxic)
     chi2 = np.divide(total * (bad * (total - n) - (toxic - bad) * (n - bad)) ** 2, spread, out=np.zeros(len(n)), where=spread > 0)
-    del term
     votes = Votes(terms, np.log((1 + total) / n) * chi2, toxic / total if total else 0.0, k)
     if not votes.weight.any():
         return votes
-    seat = np.where(inside, np.cumsum(inside), np.cumsum(~inside)) - 1
-    at, term, weight = votes.vectors(seat[doc[here]], code[here], count[here])
-    votes.index = BlockMaxIndex(len(terms), at, term, weight, label[inside], [ids[i] for i in np.flatnonzero(inside).tolist()])
-    del at, term, weight
-    out = votes.votes(seat[doc[~here]], code[~here], count[~here], int((~inside).sum()))[0]
-    votes.calibrate(out, label[~inside])
+    doc, term, weight = votes.weighed(doc, term, count)
+    del count
+    votes.index = BlockMaxIndex(len(terms), doc, term, weight.astype(np.float32), label[inside], [ids[i] for i in np.flatnonzero(inside).tolist()])
+    del doc, term, weight
+    votes.calibrate(votes.votes(*apart, int((~inside).sum()))[0], label[~inside])
+    votes.index.__dict__.pop("wide", None)
     return votes
 
 
@@ -228,11 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     # max_postings words at most, a partition at a time
     rows = [(r["hash"], r["id"], r["label"], bytes(r["codes"]), bytes(r["counts"])) for r in kept.filter(F.col("hash") <= F.lit(last)).toLocalIterator()]
     rows = sorted(rows, key=lambda r: r[:2])[:fits]
-    size = np.array([len(r[3]) // 8 for r in rows], np.int64)
-    code, count = np.frombuffer(b"".join(r[3] for r in rows), np.uint64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
-    label, ids = np.array([r[2] for r in rows], np.float64), [r[1] for r in rows]
+    held = {"size": np.array([len(r[3]) // 8 for r in rows], np.int64), "label": np.array([r[2] for r in rows], np.float64), "ids": [r[1] for r in rows]}
+    held["code"], held["count"] = np.frombuffer(b"".join(r[3] for r in rows), np.uint64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
     del rows
-    return _learn(size, code, count, label, ids, k)
+    return _learn(held, k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, with_row: bool = False) -> DataFrame:
