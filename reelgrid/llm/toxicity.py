@@ -14,6 +14,7 @@ probabilities by a logistic curve fitted on labelled rows kept out of the index.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -27,11 +28,13 @@ from .decontaminate import words_of
 
 #: Labelled rows that are learnt from at most: those with the smallest hashes of their id.
 MAX_EXAMPLES = 20_000
-#: Distinct words of these, summed over rows: what is collected and broadcast, 16 bytes each.
+#: Distinct words of these, summed over rows: what one task learns from and what is broadcast, 16 bytes each.
 MAX_POSTINGS = 8_000_000
 #: Every so many of the rows learnt from is kept out of the index, for calibration.
 CALIBRATE = 5
 SLICE_BYTES = 4 << 20
+#: Bytes of the model in a row of its table.
+MODEL_ROW = 4 << 20
 #: Terms of a query that are summed up before it is asked again whether the rest matters.
 TERMS = 40
 
@@ -188,7 +191,7 @@ def _logit(vote: np.ndarray) -> np.ndarray:
 def _learn(held: dict, k: int) -> Votes:
     """Words, weights, index and curve from the examples' distinct words (code, count; size for each example), label and ids.
 
-    Takes code and count out of `held`, so that the driver holds them once.
+    Takes code and count out of `held`, so that they are held once.
     """
     label, ids = held["label"], held["ids"]
     inside = np.arange(len(label)) % CALIBRATE != CALIBRATE - 1
@@ -220,9 +223,44 @@ def _learn(held: dict, k: int) -> Votes:
     return votes
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_examples: int, max_postings: int = MAX_POSTINGS) -> Votes:
+class Model:
+    """Votes as bytes, unpacked where texts are scored."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw}
+
+    @cached_property
+    def votes(self) -> Votes:
+        found = pickle.loads(self.raw)
+        self.raw = b""
+        return found
+
+
+def _learnt(batches: Iterator[pa.RecordBatch], k: int) -> Votes:
+    """The model of examples in order, each with label, id, codes and counts of its distinct words."""
+    label, ids, code, count = [np.zeros(0)], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    size = [np.zeros(0, np.int64)]
+    for batch in batches:
+        label.append(batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64))
+        ids += batch.column("id").to_pylist()
+        codes, of = B.flat(batch.column("codes"))
+        size.append(np.diff(of) // 8)
+        code.append(np.frombuffer(codes.tobytes(), np.uint64))
+        count.append(np.frombuffer(B.flat(batch.column("counts"))[0].tobytes(), np.int32))
+    held = {"label": np.concatenate(label), "ids": ids, "size": np.concatenate(size), "count": np.concatenate(count)}
+    del count
+    held["code"] = np.concatenate(code)
+    del code
+    return _learn(held, k)
+
+
+def model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_examples: int, max_postings: int = MAX_POSTINGS) -> Model:
     """Learn from at most max_examples labelled rows, and so many of them that their distinct words are max_postings at most.
 
+    One task learns, as the examples are bounded; the driver passes the model's bytes on without unpacking them.
     Several labels of an id count as toxic if any is; of several documents of an id the smallest text counts.
     """
     told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -238,17 +276,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
             yield pa.RecordBatch.from_arrays([*own, pa.array([len(c) for c, _ in found], pa.int64()), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["id", "label", "size", "codes", "counts"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = pickle.dumps(_learnt(batches, k), pickle.HIGHEST_PROTOCOL)
+        for part, at in enumerate(range(0, len(raw), MODEL_ROW)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw[at : at + MODEL_ROW]], pa.binary())], ["part", "raw"])
+
     kept = B.kept(examples.mapInArrow(vectorise, f"id {B.id_type(docs, id_col)}, label int, size long, codes binary, counts binary"), "examples").withColumn("hash", F.xxhash64("id"))
     size = kept.select("hash", "id", "size").orderBy("hash", "id").toArrow()  # max_examples rows of three numbers
     fits = int(np.searchsorted(np.cumsum(size.column("size").to_numpy()), max_postings, "right"))
-    last = size.column("hash")[fits - 1].as_py() if fits else None
-    # max_postings words at most, a partition at a time
-    rows = [(r["hash"], r["id"], r["label"], bytes(r["codes"]), bytes(r["counts"])) for r in kept.filter(F.col("hash") <= F.lit(last)).toLocalIterator()]
-    rows = sorted(rows, key=lambda r: r[:2])[:fits]
-    held = {"size": np.array([len(r[3]) // 8 for r in rows], np.int64), "label": np.array([r[2] for r in rows], np.float64), "ids": [r[1] for r in rows]}
-    held["code"], held["count"] = np.frombuffer(b"".join(r[3] for r in rows), np.uint64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
-    del rows
-    return _learn(held, k)
+    if not fits:
+        return Model(pickle.dumps(_learnt(iter(()), k)))
+    last = F.struct(*(F.lit(size.column(c)[fits - 1].as_py()).cast(kept.schema[c].dataType).alias(c) for c in ("hash", "id")))
+    chosen = kept.filter(F.struct("hash", "id") <= last).drop("size").repartition(1).sortWithinPartitions("hash", "id")
+    parts = B.kept(chosen.mapInArrow(learn, "part int, raw binary"), "model").toLocalIterator()
+    return Model(b"".join(r["raw"] for r in sorted(parts, key=lambda r: r["part"])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_examples: int, max_postings: int = MAX_POSTINGS) -> Votes:
+    """The model, unpacked."""
+    return model(docs, labels, id_col, text_col, label_col, k, max_examples, max_postings).votes
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, with_row: bool = False) -> DataFrame:
@@ -262,13 +308,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     teach nothing.  Of equally near examples those that stand first in the index count.  No
     other column is read.
     """
-    votes = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, k, max_examples))
+    votes = docs.sparkSession.sparkContext.broadcast(model(docs, labels, id_col, text_col, label_col, k, max_examples))  # bounded by MAX_POSTINGS
     kind = B.id_type(docs, id_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in B.slices(batches, "text", SLICE_BYTES):
             _, _, code, of = words_of(*B.flat(table.column("text")))
-            found, evidence = votes.value.score(code, of)
+            found, evidence = votes.value.votes.score(code, of)
             ids = table.column("id").combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             own = [table.column("row").combine_chunks()] if with_row else []
