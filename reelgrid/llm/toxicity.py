@@ -45,6 +45,17 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, n) + np.arange(int(n.sum()))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second ones, and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unplaned(n: int, dtype: str, raw: bytes) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(flat.T).view(dtype).reshape(n)
+
+
 class BlockMaxIndex:
     """Unit vectors of examples in blocks; exact nearest neighbours by cosine."""
 
@@ -62,18 +73,35 @@ class BlockMaxIndex:
         self.size, self.width, self.blocks = len(label), width, -(-len(label) // width)
         order = np.lexsort((place[doc], term))
         self.at, self.weight = place[doc[order]], weight[order].astype(np.float32)
-        cell = term[order].astype(np.int64) * self.blocks + self.at // width
         del order
+        self._bounds(np.bincount(term, minlength=n_terms))
+
+    def _bounds(self, postings: np.ndarray) -> None:
+        """Blocks of each word and the most it weighs in them, from how many postings each word has."""
+        cell = np.repeat(np.arange(len(postings), dtype=np.int64) * self.blocks, postings)
+        cell += self.at // self.width
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.start = np.append(head, len(cell)).astype(np.int32)
-        self.block = (cell[head] % self.blocks).astype(np.int32)
+        of = cell[head]
+        del cell
+        self.block = (of % self.blocks).astype(np.int32)
         self.bound = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0, np.float32)
-        self.cells = np.searchsorted(cell[head] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
-        self.top = np.zeros(n_terms, np.float32)
-        np.maximum.at(self.top, np.repeat(np.arange(n_terms), np.diff(self.cells)), self.bound)
+        self.cells = np.searchsorted(of // self.blocks, np.arange(len(postings) + 1)).astype(np.int32)
+        self.top = np.zeros(len(postings), np.float32)
+        np.maximum.at(self.top, np.repeat(np.arange(len(postings)), np.diff(self.cells)), self.bound)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "wide"}
+        """What the rest follows from: postings of each word, steps between their places, and weights, in compressed bytes."""
+        step = np.diff(self.at, prepend=np.int32(0))
+        postings = np.diff(self.start[self.cells])
+        slim = {c: self.__dict__[c] for c in ("label", "ids", "size", "width", "blocks")}
+        return slim | {"packed": [(len(x), str(x.dtype), _planes(x)) for x in (postings, step, self.weight)]}
+
+    def __setstate__(self, state: dict) -> None:
+        postings, step, self.weight = (_unplaned(*x) for x in state.pop("packed"))
+        self.__dict__.update(state)
+        self.at = np.cumsum(step, dtype=np.int32)
+        self._bounds(postings)
 
     @cached_property
     def wide(self) -> tuple[np.ndarray, np.ndarray]:
