@@ -35,6 +35,8 @@ CALIBRATE = 5
 SLICE_BYTES = 4 << 20
 #: Bytes of the model in a row of its table.
 MODEL_ROW = 4 << 20
+#: Postings whose blocks are told apart at a time.
+CHUNK = 1 << 20
 #: Terms of a query that are summed up before it is asked again whether the rest matters.
 TERMS = 40
 
@@ -78,17 +80,25 @@ class BlockMaxIndex:
 
     def _bounds(self, postings: np.ndarray) -> None:
         """Blocks of each word and the most it weighs in them, from how many postings each word has."""
-        cell = np.repeat(np.arange(len(postings), dtype=np.int64) * self.blocks, postings)
-        cell += self.at // self.width
-        head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.start = np.append(head, len(cell)).astype(np.int32)
-        of = cell[head]
-        del cell
-        self.block = (of % self.blocks).astype(np.int32)
-        self.bound = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0, np.float32)
-        self.cells = np.searchsorted(of // self.blocks, np.arange(len(postings) + 1)).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(postings)])
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CHUNK)), len(postings))).tolist()
+        start, block, bound, cells = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], np.zeros(len(postings), np.int32)
         self.top = np.zeros(len(postings), np.float32)
-        np.maximum.at(self.top, np.repeat(np.arange(len(postings)), np.diff(self.cells)), self.bound)
+        for low, high in zip([0, *cuts[:-1]], cuts, strict=True):
+            s, e = int(ends[low]), int(ends[high])
+            if s == e:
+                continue
+            term, of = np.repeat(np.arange(high - low, dtype=np.int32), postings[low:high]), self.at[s:e] // self.width
+            head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])]))
+            most = np.maximum.reduceat(self.weight[s:e], head)
+            start.append((head + s).astype(np.int32))
+            block.append(of[head].astype(np.int32))
+            bound.append(most)
+            cells[low:high] = np.bincount(term[head], minlength=high - low)
+            np.maximum.at(self.top[low:high], term[head], most)
+        self.start = np.append(np.concatenate(start), np.int32(ends[-1]))
+        self.block, self.bound = np.concatenate(block), np.concatenate(bound)
+        self.cells = np.concatenate([[0], np.cumsum(cells)]).astype(np.int32)
 
     def __getstate__(self) -> dict:
         """What the rest follows from: postings of each word, steps between their places, and weights, in compressed bytes."""
@@ -103,11 +113,6 @@ class BlockMaxIndex:
         self.at = np.cumsum(step, dtype=np.int32)
         self._bounds(postings)
 
-    @cached_property
-    def wide(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights as numpy adds them up fastest; travels narrow."""
-        return self.at.astype(np.int64), self.weight.astype(np.float64)
-
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples over 0; of equals the first."""
         most = weight * self.top[term]
@@ -115,14 +120,16 @@ class BlockMaxIndex:
         term, weight, most = term[order], weight[order], most[order]
         rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # what terms from here on can add at most
         least = 0.0
-        sums, (place, value) = np.zeros(self.blocks * self.width), self.wide
+        sums, place, value = np.zeros(self.blocks * self.width), self.at, self.weight
         first, end = self.start[self.cells[term]].tolist(), self.start[self.cells[term + 1]].tolist()
         at = 0
         while at < len(term) and (rest[at] >= least or not least):
             upto = min(at + TERMS, len(term))
             lists = [slice(s, e) for s, e in zip(first[at:upto], end[at:upto], strict=True)]
             count = [x.stop - x.start for x in lists]
-            sums += np.bincount(np.concatenate([place[x] for x in lists]), np.concatenate([value[x] for x in lists]) * np.repeat(weight[at:upto], count), len(sums))
+            # Places and weights stay narrow in the index and are widened as they are put end to end.
+            some = np.concatenate([place[x] for x in lists], dtype=np.int64), np.concatenate([value[x] for x in lists], dtype=np.float64)
+            sums += np.bincount(some[0], some[1] * np.repeat(weight[at:upto], count), len(sums))
             at = upto
             if k < self.size:
                 least = max(least, np.partition(sums, len(sums) - k)[len(sums) - k])
@@ -247,7 +254,6 @@ def _learn(held: dict, k: int) -> Votes:
     votes.index = BlockMaxIndex(len(terms), doc, term, weight.astype(np.float32), label[inside], [ids[i] for i in np.flatnonzero(inside).tolist()])
     del doc, term, weight
     votes.calibrate(votes.votes(*apart, int((~inside).sum()))[0], label[~inside])
-    votes.index.__dict__.pop("wide", None)
     return votes
 
 
