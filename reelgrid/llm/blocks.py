@@ -29,7 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/reelgrid"  # one machine is all there is
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

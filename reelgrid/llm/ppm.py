@@ -99,7 +99,7 @@ def _unpack(data: bytes, size: int) -> np.ndarray:
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Compressed behind their number; counts with all first bytes together, then all second ones: most are zeros."""
-    raw = values.view(np.uint8).reshape(len(values), -1).T if values.dtype == np.int64 else values
+    raw = values.view(np.uint8).reshape(len(values), 8).T if values.dtype == np.int64 else values
     return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
@@ -178,10 +178,12 @@ def _dealt(kind: int, block: int, value: np.ndarray, n: np.ndarray, buckets: int
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """The counts of some blocks as those of one, without what no training document holds."""
+    """The counts of some blocks as those of one, without what no training document holds; no row where nothing is left."""
     keys, n = _open(table)
     value, total = _summed(np.concatenate(keys), np.concatenate(n))
     value, total = value[total > 0], total[total > 0]
+    if not len(value):
+        return _rows(ASK, [])
     first = [table.column(c)[0].as_py() for c in ("kind", "bucket", "block")]
     return _rows(ASK, [(*first, _pack(value), _squeeze(total))])
 

@@ -85,6 +85,27 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_read(spark, sf_dir, "embeddings"), components=4).withColumnRenamed("id", "vec_id")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment(_read(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")
+
+
+def op13_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .routed_search import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -96,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_ring": op10_ring,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_routed_search": op13_routed_search,
 }
 
 ORACLE_SQL: dict[str, str] = {

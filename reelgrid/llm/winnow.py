@@ -13,6 +13,8 @@ is as good a rule, and gives other anchors to the same windows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -128,10 +130,14 @@ WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """The XXH64 of each word's bytes; words are told apart by their bytes, and each different one is hashed once a piece."""
     out, step = np.zeros(len(start), np.uint64), 1 << 17
     for at in range(0, len(start), step):
         s, e = start[at : at + step], end[at : at + step]
-        base = s[0]
-        out[at : at + step] = span_hash(prefix_sums(BYTE_CODES[data[base : e[-1]]]), s - base, e - base)
+        size = e - s
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        own = data[np.repeat(s - offsets[:-1], size) + np.arange(offsets[-1])]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(own)]).dictionary_encode()
+        codes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        out[at : at + step] = codes[words.indices.to_numpy()]
     return out
