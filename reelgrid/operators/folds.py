@@ -266,7 +266,7 @@ def losses(frames: DataFrame, patience: int = 2, fps: int = 30, width: int = 192
     return fold(frames.select("video", "scene", "frame", "x"), ["video", "scene"], ["frame"], "kind string, center double", lambda: (width / 2, 0), step)
 
 
-@query("dec_lost", FOLDED + ", r AS (SELECT video, scene, k, frame, CASE WHEN detected THEN 0 ELSE 1 END AS missed, CASE WHEN detected THEN value * 15 ELSE 960.0::DOUBLE END AS pos FROM fm WHERE k = 1 UNION ALL SELECT f.video, f.scene, f.k, f.frame, CASE WHEN f.detected THEN 0 ELSE r.missed + 1 END, CASE WHEN f.detected THEN f.value * 15 WHEN r.missed < 2 THEN r.pos ELSE r.pos + (960 - r.pos) * 0.03::DOUBLE END FROM r JOIN fm f ON f.video = r.video AND f.scene = r.scene AND f.k = r.k + 1) SELECT video, frame, CASE WHEN missed = 0 THEN 'seen' WHEN missed <= 2 THEN 'held' ELSE 'eased' END AS kind, CAST(floor(pos * 1e3 + 0.5) AS BIGINT) AS center FROM r")
+@query("dec_lost", FOLDED + ", r AS (SELECT video, scene, k, frame, CASE WHEN detected THEN 0 ELSE 1 END AS missed, CASE WHEN detected THEN value * 15 ELSE 960.0::DOUBLE END AS pos FROM fm WHERE k = 1 UNION ALL SELECT f.video, f.scene, f.k, f.frame, CASE WHEN f.detected THEN 0 ELSE r.missed + 1 END, CASE WHEN f.detected THEN f.value * 15 WHEN r.missed < 2 THEN r.pos ELSE r.pos + (960 - r.pos) * (1 - pow(0.97::DOUBLE, 1)) END FROM r JOIN fm f ON f.video = r.video AND f.scene = r.scene AND f.k = r.k + 1) SELECT video, frame, CASE WHEN missed = 0 THEN 'seen' WHEN missed <= 2 THEN 'held' ELSE 'eased' END AS kind, CAST(floor(pos * 1e3 + 0.5) AS BIGINT) AS center FROM r")
 def dec_lost(t: Tables) -> DataFrame:
     seen = t.frames.select("video", "scene", "frame", F.when(F.col("detected"), F.col("value") * 15).alias("x"))
     return losses(seen).select("video", "frame", "kind", F.floor(F.col("center") * 1e3 + 0.5).cast("long").alias("center"))
