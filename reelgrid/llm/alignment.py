@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 #: Bytes of text that a block holds about, and chunks that a worker remembers.
-BLOCK_BYTES = 8 << 20
-REMEMBERED = 1 << 19
+BLOCK_BYTES = 4 << 20
+REMEMBERED = 1 << 17
 #: Parts that the documents of one pair are added up in first.
 SALTS = 16
 #: Fixed value: the words that a byte-level BPE parts a text into.
