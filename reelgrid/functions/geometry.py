@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used: expressions that use their parts twice double at every step."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clamp(value: Column, low, high) -> Column:
     """value within low and high; null stays null (greatest and least would skip it)."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
