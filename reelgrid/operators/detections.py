@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, base_crop, clamp, crop_size, iou, q6, spring
 from ..plans.catalog import DETECTIONS, FRAMES, Tables, query
+from .overlaps import owner
 
 W, H = 1920.0, 1080.0
 
@@ -208,11 +209,10 @@ def jn_overlap_people(t: Tables) -> DataFrame:
 @query("jn_iou_owner", PAIRS + ", both_ways AS (SELECT frame, i AS me, j AS other, iou FROM ious UNION ALL SELECT frame, j, i, iou FROM ious), best AS (SELECT *, row_number() OVER (PARTITION BY frame, me ORDER BY iou DESC, other DESC) AS k, lead(iou) OVER (PARTITION BY frame, me ORDER BY iou DESC, other DESC) AS second FROM both_ways) SELECT frame, me, other AS owner FROM best WHERE k = 1 AND iou >= 0.3 AND (second IS NULL OR iou - second >= 0.1)")
 def jn_iou_owner(t: Tables) -> DataFrame:
     """Which other box of the frame each box belongs to: the best overlap, unless a second is nearly as good."""
-    p = pairs(t.detections)
-    both = p.select("frame", F.col("a_idx").alias("me"), F.col("b_idx").alias("other"), "iou").unionByName(p.select("frame", F.col("b_idx").alias("me"), F.col("a_idx").alias("other"), "iou"))
-    order = Window.partitionBy("frame", "me").orderBy(F.desc("iou"), F.desc("other"))
-    best = both.withColumns({"k": F.row_number().over(order), "second": F.lead("iou").over(order)})
-    return best.filter("k = 1 AND iou >= 0.3 AND (second IS NULL OR iou - second >= 0.1)").select("frame", "me", F.col("other").alias("owner"))
+    box = F.struct("x1", "y1", "x2", "y2").alias("box")
+    g = t.detections.groupBy("frame").agg(F.collect_list(F.struct("idx", box)).alias("boxes"))
+    owned = F.transform("boxes", lambda me: F.struct(me["idx"].alias("me"), owner(me["box"], F.filter("boxes", lambda o: o["idx"] != me["idx"])).alias("owner")))
+    return g.select("frame", F.inline(owned)).filter("owner IS NOT NULL")
 
 
 @query("jn_expanded_competitor", DETECTIONS + f"SELECT DISTINCT p.frame FROM (SELECT *, conf * {AREA_SQL} AS v FROM det) p JOIN (SELECT *, conf * {AREA_SQL} AS v FROM det) o ON p.frame = o.frame AND o.idx <> p.idx WHERE p.idx = 0 AND ((o.x1 < p.x2 + 0.15 * (p.x2 - p.x1) AND o.x2 > p.x1 - 0.15 * (p.x2 - p.x1) AND o.y1 < p.y2 + 0.15 * (p.y2 - p.y1) AND o.y2 > p.y1 - 0.15 * (p.y2 - p.y1)) OR floor(o.v * 1500 + 0.5) >= floor(p.v * 1e3 + 0.5))")
@@ -271,12 +271,12 @@ SPEAKER = "SELECT count(*) AS n, count_if(EXISTS (SELECT 1 FROM orders o WHERE o
 
 @query("jn_speaker", SPEAKER)
 def jn_speaker(t: Tables) -> DataFrame:
-    """How many probes fall in a half-open interval of their track and scene; days are the buckets of the range join."""
+    """How many probes fall in a half-open interval of their track and scene; spans of 30 days are the buckets of the range join, so an interval lies in two."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    o = t.read("orders").select((F.col("o_orderkey") % 100).alias("k"), (F.col("o_custkey") % 5).alias("s"), F.col("o_orderdate").alias("t0"), F.explode(F.sequence(F.lit(0), F.lit(30))).alias("step"))
-    o = o.select("k", "s", (day(F.col("t0")) + F.col("step")).alias("day"), "t0")
-    probe = t.read("lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 5).alias("s"), day(F.col("l_shipdate")).alias("day"), F.col("l_shipdate").alias("at"))
-    inside = (F.col("p.k") == F.col("o.k")) & (F.col("p.s") == F.col("o.s")) & (F.col("p.day") == F.col("o.day")) & (F.col("at") >= F.col("t0")) & (F.col("at") < F.col("t0") + F.expr("INTERVAL 30 DAYS"))
+    o = t.read("orders").select((F.col("o_orderkey") % 100).alias("k"), (F.col("o_custkey") % 5).alias("s"), F.col("o_orderdate").alias("t0"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("step"))
+    o = o.select("k", "s", (F.floor(day(F.col("t0")) / 30) + F.col("step")).alias("bucket"), "t0")
+    probe = t.read("lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 5).alias("s"), F.floor(day(F.col("l_shipdate")) / 30).alias("bucket"), F.col("l_shipdate").alias("at"))
+    inside = (F.col("p.k") == F.col("o.k")) & (F.col("p.s") == F.col("o.s")) & (F.col("p.bucket") == F.col("o.bucket")) & (F.col("at") >= F.col("t0")) & (F.col("at") < F.col("t0") + F.expr("INTERVAL 30 DAYS"))
     hits = probe.alias("p").join(o.alias("o"), inside, "left_semi").agg(F.count("*").alias("hits"))
     return probe.agg(F.count("*").alias("n")).join(hits)
 

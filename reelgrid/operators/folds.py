@@ -21,22 +21,22 @@ FOLDED = FRAMES.replace("WITH ", "WITH RECURSIVE ", 1) + ", fm AS MATERIALIZED (
 def fold(df: DataFrame, keys: list[str], order: list[str], out: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, tuple]]) -> DataFrame:
     """keys, order and what `step` makes of each row, in order within its keys: step(state, row) -> (state, values of `out`).
 
-    Rows are dealt by the keys and sorted, and stream through; a task holds one state, however long a group is.
+    Rows stream through in order; a task holds one state, however long a group is.  Their place within the group, a window, is what
+    deals and sorts them: rows that already lie together by some of the keys are not shuffled again.
     """
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     own = [*keys, *order]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own) + ", " + out
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
+        state = None
         for batch in batches:
             names, made = batch.schema.names, []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = dict(zip(names, row, strict=True))
-                key = tuple(values[k] for k in keys)
-                if at is None or key != at:
-                    at, state = key, start()
+                if values["_place"] == 1:
+                    state = start()
                 state, found = step(state, values)
                 made.append((*(values[c] for c in own), *found))
             columns = zip(*made, strict=True) if made else [[]] * len(arrow)

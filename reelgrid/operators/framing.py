@@ -77,14 +77,18 @@ def trk_gap_limit(t: Tables) -> DataFrame:
 @query("sal_refresh", GRIDS + f"SELECT vec_id, i, {Q.format('0.65::DOUBLE * v + 0.35::DOUBLE * old')} AS v FROM (SELECT vec_id, i, v, lag(v) OVER w AS old, lag(vec_id) OVER w AS prior FROM cells WINDOW w AS (PARTITION BY i ORDER BY vec_id)) WHERE prior = vec_id - 1")
 def sal_refresh(t: Tables) -> DataFrame:
     """A fresh map blended with the one before, cell by cell; maps with a cell that is not within [0, 1] are refused."""
-    return blended(t.cells)
-
-
-def blended(cells: DataFrame, share: float = 0.65) -> DataFrame:
-    per = Window.partitionBy("i").orderBy("vec_id")
-    fine = F.col("v").isNotNull() & ~F.isnan("v") & F.col("v").between(-1e-6, 1 + 1e-6)
-    both = cells.withColumns({"old": F.lag("v").over(per), "prior": F.lag("vec_id").over(per)}).filter(F.col("prior") == F.col("vec_id") - 1)
-    return both.filter(fine).select("vec_id", "i", q6(share * F.col("v") + (1 - share) * F.col("old")).alias("v"))
+    lo = F.array_min("embedding").cast("double")
+    v = F.transform("embedding", lambda x: (x.cast("double") - lo) / (F.array_max("embedding").cast("double") - lo))
+    d = blended(t.read("embeddings").select("vec_id", v.alias("v")))
+    return d.select("vec_id", F.posexplode("v").alias("p", "v")).select("vec_id", (F.col("p") + 1).cast("long").alias("i"), q6(F.col("v")).alias("v"))
+
+
+def blended(maps: DataFrame, share: float = 0.65) -> DataFrame:
+    """maps (vec_id, v: array) that have a map before them (vec_id - 1), each blended with it; whole maps meet, by an equi-join."""
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & x.between(-1e-6, 1 + 1e-6))
+    old = maps.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("old"))
+    both = maps.filter(fine).join(old, "vec_id")
+    return both.select("vec_id", F.zip_with("v", "old", lambda a, b: share * a + (1 - share) * b).alias("v"))
 
 
 @query("dec_lookahead", FRAMES + f"SELECT video, frame, {Q.format('value + greatest(-1920.0::DOUBLE, least(1920.0::DOUBLE, (value - prior) * 30)) * (0.15::DOUBLE * (itv / 3.0::DOUBLE))')} AS target FROM (SELECT *, lag(value) OVER (PARTITION BY video, scene ORDER BY frame) AS prior FROM frames) WHERE prior IS NOT NULL")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import let, q6
 from ..plans.catalog import Tables, query
-from .poses import overlap
+from .overlaps import overlap
 
 Q = "CAST(floor(({}) * 1e6 + 0.5) AS BIGINT)"
 
@@ -155,7 +155,7 @@ def risks(frames: DataFrame, change: Column, tile: Column) -> DataFrame:
     first = F.when(F.col("who.reason").isin(*RISKY), F.array(F.concat(F.col("who.reason"), F.lit(":"), F.array_join(ids.cast("array<string>"), ","))))
     image = F.when((F.col("_change") >= 0.12) | (F.col("_tile") >= 0.30), F.array(F.lit("severe_image_change:")))
     lost = F.transform(F.array_except("_old.ids", "_ids"), lambda i: text("subject_missing", i))
-    new = F.transform(F.filter("seen", lambda t: t["track"].isNull() | ~F.exists("_old.seen", lambda o: o["track"] == t["track"])), lambda t: text("new_subject", t["track"]))
+    new = F.transform(F.filter("seen", lambda t: t["track"].isNull() | ~F.exists("_old.seen", lambda o: o["track"].eqNullSafe(t["track"]))), lambda t: text("new_subject", t["track"]))
     moved = F.filter("_near", lambda t: let(F.try_element_at(F.filter("_old.tracks", lambda o: o["track"].eqNullSafe(t["track"])), F.lit(-1)), lambda o: o.isNotNull() & ~same_track(t, o)))
     none = F.array().cast("array<string>")
     since = F.when(F.col("_old").isNotNull(), F.concat(lost, new, F.transform(moved, lambda t: text("subject_geometry_change", t["track"]))))

@@ -184,11 +184,19 @@ def win_fixed_interval(t: Tables) -> DataFrame:
 COUNTERS = FRAMES + ", kinds AS (SELECT DISTINCT event_type AS key FROM frames), counters AS (SELECT video, frame, segment_no, key, CAST(sum(CASE WHEN event_type = key THEN 1 ELSE 0 END) OVER (PARTITION BY video, key ORDER BY frame) AS BIGINT) AS total FROM (SELECT *, scene * 4294967296 + win AS segment_no FROM frames) CROSS JOIN kinds)\n"
 
 
+def running(frames: DataFrame) -> DataFrame:
+    """video, frame, segment_no and totals: an array (key, total) of how many frames of each kind there have been; a row per frame, one window.
+
+    The kinds are read from the table first; they are a handful.
+    """
+    kinds = [r["event_type"] for r in frames.select("event_type").distinct().orderBy("event_type").collect()]
+    totals = [F.struct(F.lit(k).alias("key"), F.sum((F.col("event_type") == F.lit(k)).cast("long")).over(per_video()).alias("total")) for k in kinds if k is not None]
+    return frames.select("video", "frame", (F.col("scene") * (1 << 32) + F.col("win")).alias("segment_no"), (F.array(*totals) if totals else F.array().cast("array<struct<key:string,total:bigint>>")).alias("totals"))
+
+
 def counters(frames: DataFrame) -> DataFrame:
-    """Running totals of each kind of event, a row per frame and kind; the kinds are a handful and known from the data."""
-    kinds = frames.select(F.col("event_type").alias("key")).distinct()
-    total = F.sum((F.col("event_type") == F.col("key")).cast("long")).over(Window.partitionBy("video", "key").orderBy("frame"))
-    return frames.withColumn("segment_no", F.col("scene") * (1 << 32) + F.col("win")).crossJoin(kinds).select("video", "frame", "segment_no", "key", total.alias("total"))
+    """Running totals of each kind of event, a row per frame and kind."""
+    return running(frames).select("video", "frame", "segment_no", F.inline("totals"))
 
 
 @query("win_cumulative_counters", COUNTERS + "SELECT video, frame, key, total FROM counters")
@@ -198,7 +206,8 @@ def win_cumulative_counters(t: Tables) -> DataFrame:
 
 @query("agg_snapshot", COUNTERS + "SELECT video, segment_no, key, max(total) AS total FROM counters GROUP BY ALL")
 def agg_snapshot(t: Tables) -> DataFrame:
-    return counters(t.frames).groupBy("video", "segment_no", "key").agg(F.max("total").alias("total"))
+    last = running(t.frames).groupBy("video", "segment_no").agg(F.max_by("totals", "frame").alias("totals"))
+    return last.select("video", "segment_no", F.inline("totals"))
 
 
 def deltas(snapshots: DataFrame) -> DataFrame:

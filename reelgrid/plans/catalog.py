@@ -54,8 +54,9 @@ class Tables:
     @cached_property
     def frames(self) -> DataFrame:
         """Events of a user as the frames of a video."""
-        per = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        e = self.read("events").select(F.col("user_id").alias("video"), F.row_number().over(per).cast("long").alias("frame"), "event_id", "event_type", "value", "props")
+        per = Window.partitionBy("video").orderBy("ts", "event_id")  # the name that later windows use, so that one exchange serves all
+        e = self.read("events").select(F.col("user_id").alias("video"), "ts", "event_id", "event_type", "value", "props")
+        e = e.select("video", F.row_number().over(per).cast("long").alias("frame"), "event_id", "event_type", "value", "props")
         return with_scenes(
             e.withColumns(
                 {

@@ -1 +1 @@
-"""Part of reelgrid."""
+"""Stateful streams over frames."""
