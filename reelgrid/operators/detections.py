@@ -15,12 +15,13 @@ from .overlaps import owner
 
 W, H = 1920.0, 1080.0
 
-# The detector's classes in order of their ids here, and the bias of each in the score.
-CLASSES = ["person", "dog", "cat", "car", "bicycle", "motorcycle", "bus", "truck"]
-BIAS = [0.22, 0.12, 0.10, 0.06, 0.02, 0.02, 0.01, 0.01]
+# The detector's classes by their ids, and the bias of each in the score.
+CLASSES = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus", 7: "truck", 15: "cat", 16: "dog"}
+BIAS = {"person": 0.22, "dog": 0.12, "cat": 0.10, "car": 0.06, "bicycle": 0.02, "motorcycle": 0.02, "bus": 0.01, "truck": 0.01}
 
 AREA_SQL = "(greatest(0, x2 - x1) * greatest(0, y2 - y1))"
-BIAS_SQL = "CASE cls " + " ".join(f"WHEN {k} THEN {b}" for k, b in enumerate(BIAS)) + " END"
+BIAS_SQL = "CASE cls " + " ".join(f"WHEN {k} THEN {BIAS[c]}" for k, c in CLASSES.items()) + " ELSE 0 END"
+NAME_SQL = "CASE cls " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in CLASSES.items())
 
 
 @query("flt_parse_tracks", DETECTIONS + "SELECT frame, idx, cls FROM det WHERE cls IN (0, 1, 2, 3) AND x2 > x1 AND y2 > y1")
@@ -29,15 +30,16 @@ def flt_parse_tracks(t: Tables) -> DataFrame:
     return t.detections.filter(ok).select("frame", "idx", "cls")
 
 
-@query("flt_class_dim", DETECTIONS + "SELECT CASE cls " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CLASSES[:4])) + " END AS name, count(*) AS n FROM det WHERE cls < 4 GROUP BY name")
+@query("flt_class_dim", DETECTIONS + f"SELECT {NAME_SQL} END AS name, count(*) AS n FROM det WHERE cls IN ({', '.join(map(str, CLASSES))}) GROUP BY name")
 def flt_class_dim(t: Tables) -> DataFrame:
-    dim = F.broadcast(t.spark.createDataFrame(list(enumerate(CLASSES[:4])), "cls long, name string"))
+    """Detections of the classes that have a name; other ids are left out."""
+    dim = F.broadcast(t.spark.createDataFrame(list(CLASSES.items()), "cls long, name string"))
     return t.detections.join(dim, "cls").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("prj_class_name", DETECTIONS + "SELECT CASE cls " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CLASSES[:6])) + " ELSE CAST(cls AS VARCHAR) END AS name, count(*) AS n FROM det GROUP BY name")
+@query("prj_class_name", DETECTIONS + f"SELECT {NAME_SQL} ELSE CAST(cls AS VARCHAR) END AS name, count(*) AS n FROM det GROUP BY name")
 def prj_class_name(t: Tables) -> DataFrame:
-    dim = F.broadcast(t.spark.createDataFrame(list(enumerate(CLASSES[:6])), "cls long, name string"))
+    dim = F.broadcast(t.spark.createDataFrame(list(CLASSES.items()), "cls long, name string"))
     return t.detections.join(dim, "cls", "left").groupBy(F.coalesce("name", F.col("cls").cast("string")).alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -100,20 +102,30 @@ def prj_roi_pad(t: Tables) -> DataFrame:
     return d.filter("r > l AND b > t")
 
 
-def score(conf: Column, mask_area: Column, centre: Column, cls: Column) -> Column:
-    """The linear score without terms that depend on earlier decisions or on cues that are not there."""
+def score(conf: Column, mask_area: Column, centre: Column, cls: Column, cues: dict[str, Column] | None = None) -> Column:
+    """The linear score of a candidate; centre: 1 in the middle of the frame, 0 in a corner.
+
+    cues (what is missing counts nothing): head, pose, tracked, locked, speaking: booleans; saliency: a confidence.
+    """
     share = clamp(mask_area / (W * H), 0.0, 1.0)
-    bias = F.element_at(F.array(*[F.lit(b) for b in BIAS]), (cls + 1).cast("int"))
-    return bias + 1.35 * clamp(conf, 0.0, 1.0) + 0.95 * F.sqrt(share) + 0.55 * centre + 0.26 * F.log(1 + 250 * share)
+    bias = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, c in CLASSES.items() for x in (k, BIAS[c])]), cls.cast("int")), F.lit(0.0))
+    total = bias + 1.35 * clamp(conf, 0.0, 1.0) + 0.95 * F.sqrt(share) + 0.55 * centre
+    flag = lambda name, weight: F.when((cues or {}).get(name, F.lit(False)), weight).otherwise(0.0)
+    saliency = F.coalesce((cues or {}).get("saliency", F.lit(0.0)), F.lit(0.0))
+    total = total + flag("head", 0.24) + flag("pose", 0.34) + F.when(saliency > 0, 0.72).otherwise(0.0) + 0.78 * clamp(saliency, 0.0, 1.0)
+    return total + flag("tracked", 1.05) + flag("locked", 1.30) + flag("speaking", 0.22) + 0.26 * F.log(1 + 250 * share)
 
 
 def scored(d: DataFrame) -> DataFrame:
+    """Detections with their score; keys choose what cues they have."""
     away = F.sqrt(F.pow((F.col("x1") + F.col("x2")) / 2 - W / 2, 2) + F.pow((F.col("y1") + F.col("y2")) / 2 - H / 2, 2))
-    return d.withColumn("score", score(F.col("conf"), area(""), 1 - clamp(away / ((W * W + H * H) ** 0.5), 0.0, 1.0), F.col("cls")))
+    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
+    cues = {"head": pk % 3 == 0, "pose": pk % 4 == 0, "saliency": (sk % 9) / 8, "tracked": F.col("idx") == 1, "locked": pk % 11 == 0, "speaking": sk % 6 == 0}
+    return d.withColumn("score", score(F.col("conf"), area(""), 1 - clamp(away / ((W * W + H * H) ** 0.5), 0.0, 1.0), F.col("cls"), cues))
 
 
 SCORED = DETECTIONS + f""", shares AS (SELECT *, greatest(0, least(1, {AREA_SQL} / 2073600.0)) AS na, 1 - greatest(0, least(1, sqrt(pow((x1 + x2) / 2 - 960, 2) + pow((y1 + y2) / 2 - 540, 2)) / sqrt(4852800.0))) AS ca FROM det),
-scored AS (SELECT *, {BIAS_SQL} + 1.35 * greatest(0, least(1, conf)) + 0.95 * sqrt(na) + 0.55 * ca + 0.26 * ln(1 + 250 * na) AS score FROM shares)
+scored AS (SELECT *, {BIAS_SQL} + 1.35 * greatest(0, least(1, conf)) + 0.95 * sqrt(na) + 0.55 * ca + CASE WHEN l_partkey % 3 = 0 THEN 0.24 ELSE 0 END + CASE WHEN l_partkey % 4 = 0 THEN 0.34 ELSE 0 END + CASE WHEN l_suppkey % 9 > 0 THEN 0.72 ELSE 0 END + 0.78 * least(1, (l_suppkey % 9) / 8) + CASE WHEN idx = 1 THEN 1.05 ELSE 0 END + CASE WHEN l_partkey % 11 = 0 THEN 1.3 ELSE 0 END + CASE WHEN l_suppkey % 6 = 0 THEN 0.22 ELSE 0 END + 0.26 * ln(1 + 250 * na) AS score FROM shares)
 """
 
 

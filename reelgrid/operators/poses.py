@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.camera import focus_bounds
 from ..functions.geometry import finite, let, q6
 from ..plans.catalog import DETECTIONS, Tables, query
 from .grids import total
@@ -429,3 +430,56 @@ def jn_roi_match(t: Tables) -> DataFrame:
     person = _struct(idx=F.col("idx"), box=F.struct("x1", "y1", "x2", "y2"))
     g = d.select("frame", person.alias("person"), found.alias("seen")).groupBy("frame").agg(F.collect_list("person").alias("people"), F.flatten(F.collect_list("seen")).alias("found"))
     return roi_matches(g).select("frame", F.inline("matches"))
+
+
+# What a crop should show.
+
+
+@query(
+    "dec_focus_bounds",
+    CUES
+    + f""", cand AS (SELECT p.vec_id, p.vec_id % 6 > 0 AS person, p.x1, p.y1, p.x2, p.y2, p.y1 + p.vec_id % 30 AS mask_top, coalesce(c.body, false) AS body, coalesce(c.ankles, false) AS sure, c.ay AS eye, c.h1, c.h2, c.h3, c.h4, c.hw, least(c.x1, c.lx) AS bl, greatest(c.x2, c.rx) AS br, least(c.y1, c.ty, coalesce(c.h2, c.y1)) AS bt, greatest(c.y2, c.by_) AS bb, p.vec_id % 3 = 0 AS sal FROM pose p LEFT JOIN cues c ON c.vec_id = p.vec_id),
+base AS (SELECT *, person AND body AND vec_id % 7 > 0 AS by_body, person AND hw IS NOT NULL AS by_head FROM cand),
+edge AS (SELECT *, CASE WHEN by_body THEN least(bl, x1) WHEN by_head THEN least(x1, h1 - greatest(1, h3 - h1) * 0.15::DOUBLE) ELSE x1 END AS l, CASE WHEN by_body THEN bt WHEN by_head THEN least(y1, h2 - greatest(1, h4 - h2) * 0.15::DOUBLE) ELSE mask_top END AS t, CASE WHEN by_body THEN greatest(br, x2) WHEN by_head THEN greatest(x2, h3 + greatest(1, h3 - h1) * 0.15::DOUBLE) ELSE x2 END AS r, CASE WHEN by_body THEN CASE WHEN sure THEN bb ELSE greatest(bb, y2) END WHEN by_head THEN y2 + (y2 - y1) * 0.08::DOUBLE ELSE y2 END AS b FROM base),
+roomy AS (SELECT vec_id, sal, x1, y1, CASE WHEN by_body OR by_head THEN l ELSE l - greatest(1, r - l) * 0.14::DOUBLE END AS l, CASE WHEN by_body THEN t - CASE WHEN eye IS NOT NULL THEN greatest(greatest(1, b - t) * 0.12::DOUBLE, greatest(0, eye - t) * 1.35::DOUBLE) ELSE greatest(1, b - t) * 0.15::DOUBLE END WHEN by_head THEN t ELSE t - greatest(1, b - t) * 0.14::DOUBLE END AS t, CASE WHEN by_body OR by_head THEN r ELSE r + greatest(1, r - l) * 0.14::DOUBLE END AS r, CASE WHEN by_body THEN b + greatest(1, b - t) * CASE WHEN sure THEN 0.08::DOUBLE ELSE 0.18::DOUBLE END WHEN by_head THEN b ELSE b + greatest(1, b - t) * 0.16::DOUBLE END AS b FROM edge),
+kept AS (SELECT vec_id, CASE WHEN sal THEN least(l, x1 - 40 - 21.6::DOUBLE) ELSE l END AS l, CASE WHEN sal THEN least(t, y1 + 30 - 8) ELSE t END AS t, CASE WHEN sal THEN greatest(r, x1 + 80 + 21.6::DOUBLE) ELSE r END AS r, CASE WHEN sal THEN greatest(b, y1 + 60 + 8) ELSE b END AS b FROM roomy)
+SELECT vec_id, {Q.format('l')} AS l, {Q.format('t')} AS t, {Q.format('r')} AS r, {Q.format('b')} AS b FROM kept""",
+)
+def dec_focus_bounds(t: Tables) -> DataFrame:
+    n, b = F.col("vec_id"), F.col("box")
+    d = poses(t).withColumn("cues", pose_cues(F.col("points"), b, F.lit(1920), F.lit(1080), 0.35))
+    q = F.col("cues")
+    body = _struct(min_x=F.when(n % 7 > 0, q["body_min_x"]), max_x=q["body_max_x"], top=q["body_top_y"], bottom=q["body_bottom_y"])
+    salient = _struct(x1=F.when(n % 3 == 0, b["x1"] - 40), y1=b["y1"] + 30, x2=b["x1"] + 80, y2=b["y1"] + 60)
+    c = {"person": n % 6 > 0, "x1": b["x1"], "y1": b["y1"], "x2": b["x2"], "y2": b["y2"], "mask_top": b["y1"] + n % 30, "body": body, "bottom_sure": F.coalesce(q["body_bottom_confident"], F.lit(False)), "eye_y": q["eye_y"], "head": q["head"], "salient": salient}
+    return d.select("vec_id", focus_bounds(c).alias("f")).select("vec_id", *[q6(F.col(f"f.{k}")).alias(k) for k in ("l", "t", "r", "b")])
+
+
+def debug_boxes(frames: DataFrame, width: int, height: int, most: int = 6) -> DataFrame:
+    """frames (candidates, best first: array of track, cls, box, head; crop: left, top, right, bottom; subject: track and cls or null) as a row for each
+    of the first `most` candidates: place, whether it is the subject, and its boxes in the output's pixels, cut to whole numbers."""
+    crop = F.col("crop")
+    sx, sy = width / F.greatest(F.lit(1), crop["right"] - crop["left"]), height / F.greatest(F.lit(1), crop["bottom"] - crop["top"])
+    x, y = (lambda v: ((v - crop["left"]) * sx).cast("long")), (lambda v: ((v - crop["top"]) * sy).cast("long"))
+    shown = lambda b: F.when(b.isNotNull(), _struct(x1=x(b["x1"]), y1=y(b["y1"]), x2=x(b["x2"]), y2=y(b["y2"])))
+    own = lambda c: F.coalesce((c["track"] == F.col("subject.track")) & (c["cls"] == F.col("subject.cls")), F.lit(False))
+    rows = F.transform(F.slice("candidates", 1, most), lambda c, i: _struct(place=i + 1, is_subject=own(c), box=shown(c["box"]), head=shown(c["head"])))
+    return frames.select(*[k for k in frames.columns if k not in ("candidates", "crop", "subject")], F.inline(rows))
+
+
+@query(
+    "snk_debug",
+    DETECTIONS
+    + """, cand AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, idx) AS place, frame % 1300 AS lft FROM det), subject AS (SELECT frame, track AS st, cls AS sc FROM cand WHERE place = 2)
+SELECT c.frame, place, coalesce(track = st AND cls = sc, false) AS is_subject, CAST(trunc((x1 - lft) * (1080 / 608::DOUBLE)) AS BIGINT) AS x1, CAST(trunc((y2 - 100) * (1920 / 980::DOUBLE)) AS BIGINT) AS y2, CASE WHEN l_partkey % 3 = 0 THEN CAST(trunc((x1 + 5 - lft) * (1080 / 608::DOUBLE)) AS BIGINT) END AS head_x1 FROM cand c LEFT JOIN subject s ON s.frame = c.frame WHERE place <= 6""",
+)
+def snk_debug(t: Tables) -> DataFrame:
+    """The second best of a frame is its subject here."""
+    left, box = F.col("frame") % 1300, F.struct("x1", "y1", "x2", "y2")
+    head = F.when(F.col("l_partkey") % 3 == 0, _struct(x1=F.col("x1") + 5, y1=F.col("y1") + 5, x2=F.col("x1") + 15, y2=F.col("y1") + 15))
+    one = F.struct((-F.col("conf")).alias("o"), "idx", "track", "cls", box.alias("box"), head.alias("head"))
+    g = t.detections.groupBy("frame").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    second = F.get("candidates", F.lit(1))
+    g = g.withColumns({"crop": _struct(left=left, top=F.lit(100), right=left + 608, bottom=F.lit(1080)), "subject": _struct(track=second["track"], cls=second["cls"])})
+    d = debug_boxes(g, 1080, 1920)
+    return d.select("frame", F.col("place").cast("long").alias("place"), "is_subject", F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"), F.col("head.x1").alias("head_x1"))

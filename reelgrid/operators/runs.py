@@ -219,8 +219,8 @@ def canonical(fields: dict[str, Column]) -> Column:
 
 
 def text(value: Column) -> Column:
-    """A string as JSON has it; null stays null."""
-    return F.when(value.isNotNull(), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
+    """A string as JSON has it, control characters escaped; null stays null."""
+    return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
 
 
 IDENTITY = """sha256(concat('{"case":"', case_name, '","max_frames":', CASE WHEN run % 2 = 0 THEN 'null' ELSE '180' END, ',"source":', who, '}'))"""
@@ -472,18 +472,6 @@ def snk_backup(t: Tables) -> DataFrame:
     return to_copy(here.drop("run"), there)
 
 
-def encoder_args(encoder: Column, quality: Column) -> Column:
-    """Options of an encoder, as one string; those of a codec without its own are the plain ones."""
-    q = quality.cast("string")
-    return F.when(encoder == "h264_nvenc", F.concat_ws(" ", F.lit("-preset p5 -cq"), q)).when(encoder == "h264_videotoolbox", F.concat_ws(" ", F.lit("-q:v"), q)).otherwise(F.concat_ws(" ", F.lit("-preset medium -crf"), q))
-
-
-@query("snk_encoder_args", RUNS + "SELECT run, concat(CASE run % 3 WHEN 0 THEN '-preset p5 -cq ' WHEN 1 THEN '-q:v ' ELSE '-preset medium -crf ' END, repeat) AS options FROM runs")
-def snk_encoder_args(t: Tables) -> DataFrame:
-    encoder = F.element_at(F.array(*map(F.lit, ("h264_nvenc", "h264_videotoolbox", "libx264"))), (F.col("run") % 3 + 1).cast("int"))
-    return runs(t).select("run", encoder_args(encoder, F.col("repeat")).alias("options"))
-
-
 # Statistics and schedules.
 
 

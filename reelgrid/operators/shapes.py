@@ -10,8 +10,7 @@ from ..plans.catalog import DETECTIONS, FRAMES, Tables, query
 
 Q = "CAST(floor(({}) * 1e6 + 0.5) AS BIGINT)"
 
-# What each preset and each tracking profile sets, and what old options are called now.
-PRESETS = [("talking_head", 1.00, 1.85, 6.0, 4.0), ("sports", 1.00, 1.35, 12.0, 8.0), ("pets", 1.00, 1.55, 10.0, 7.0), ("cars", 1.00, 1.30, 11.0, 7.0)]
+# What each tracking profile sets, and what old options are called now.
 PROFILES = [("conservative", 3, 0.1, 0.2, 0.2), ("balanced", 6, 0.1, 0.2, 0.35), ("fast", 6, 0.1, 0.25, 0.4)]
 LEGACY = {
     "--motion-response": "--pan-time",
@@ -24,32 +23,10 @@ LEGACY = {
     "--max-step-y": "--pan-speed-y",
     "--max-missed-frames": "--lost-hold-seconds",
     "--min-subject-hold-frames": "--subject-hold-seconds",
+    "--saliency-trust-repo": None,  # no longer needed
 }
 
 
-def presets(asked: DataFrame) -> DataFrame:
-    """asked (preset, max_zoom, step_x, step_y: null where the user says nothing) with the preset's values and the speeds that follow."""
-    dim = asked.sparkSession.createDataFrame(PRESETS, "preset string, p_min double, p_max double, p_x double, p_y double")
-    j = asked.join(F.broadcast(dim), "preset")
-    j = j.select("run", "preset", F.coalesce("max_zoom", "p_max").alias("max_zoom"), F.coalesce("step_x", "p_x").alias("step_x"), F.coalesce("step_y", "p_y").alias("step_y"))
-    return j.withColumns({"pan_speed_x": F.col("step_x") * 30 / 1920, "pan_speed_y": F.col("step_y") * 30 / 1080})
-
-
-PRESET_SQL = "CASE run % 4 " + " ".join(f"WHEN {k} THEN {{}}" for k in range(4)) + " END"
-
-
-def _pick(values: list, sql: bool = False) -> str:
-    return PRESET_SQL.format(*[f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in values])
-
-
-@query("prj_preset", f"SELECT run, preset, {Q.format('mz')} AS max_zoom, {Q.format('sx * 30 / 1920')} AS pan_speed_x, {Q.format('sy * 30 / 1080')} AS pan_speed_y FROM (SELECT run, {_pick([p[0] for p in PRESETS])} AS preset, CASE WHEN run % 3 = 0 THEN 1.5::DOUBLE ELSE {_pick([p[2] for p in PRESETS])} END AS mz, CASE WHEN run % 5 = 0 THEN 9.0::DOUBLE ELSE {_pick([p[3] for p in PRESETS])} END AS sx, {_pick([p[4] for p in PRESETS])} AS sy FROM (SELECT o_orderkey AS run FROM orders))")
-def prj_preset(t: Tables) -> DataFrame:
-    run = F.col("run")
-    name = F.element_at(F.array(*[F.lit(p[0]) for p in PRESETS]), (run % 4 + 1).cast("int"))
-    asked = t.read("orders").select(F.col("o_orderkey").alias("run")).select("run", name.alias("preset"), F.when(run % 3 == 0, 1.5).alias("max_zoom"), F.when(run % 5 == 0, 9.0).alias("step_x"), F.lit(None).cast("double").alias("step_y"))
-    return presets(asked).select("run", "preset", *[q6(F.col(c)).alias(c) for c in ("max_zoom", "pan_speed_x", "pan_speed_y")])
-
-
 def profiles(asked: DataFrame) -> DataFrame:
     """asked (run, profile, gap, pose_age) with what the profile sets where the user says nothing."""
     dim = asked.sparkSession.createDataFrame(PROFILES, "profile string, p_gap long, p_age double, p_cue double, p_pose double")
@@ -65,42 +42,39 @@ def prj_profile(t: Tables) -> DataFrame:
 
 
 def modern(flags: Column) -> Column:
-    """Old options as what replaces them, each once, in order; others as they are."""
-    names = F.create_map(*[F.lit(x) for pair in LEGACY.items() for x in pair])
-    return F.array_distinct(F.transform(flags, lambda f: F.coalesce(F.try_element_at(names, f), f)))
+    """Old options as what replaces them, each once, in order; those that nothing replaces are left out, others stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in LEGACY.items() if pair[1] for x in pair])
+    gone = [old for old, new in LEGACY.items() if new is None]
+    return F.array_distinct(F.transform(F.filter(flags, lambda f: ~f.isin(gone)), lambda f: F.coalesce(F.try_element_at(names, f), f)))
 
 
-@query("prj_legacy_flags", "SELECT run, CASE run % 3 WHEN 0 THEN '--pan-time,--zoom-speed' WHEN 1 THEN '--pan-speed-x,--pan-time' ELSE '--output' END AS flags FROM (SELECT o_orderkey AS run FROM orders)")
+@query("prj_legacy_flags", "SELECT run, CASE run % 4 WHEN 0 THEN '--pan-time,--zoom-speed' WHEN 1 THEN '--pan-speed-x,--pan-time' WHEN 2 THEN '--lost-hold-seconds,--input' ELSE '--output' END AS flags FROM (SELECT o_orderkey AS run FROM orders)")
 def prj_legacy_flags(t: Tables) -> DataFrame:
-    r = F.col("run") % 3
-    given = F.when(r == 0, F.array(*map(F.lit, ("--motion-response", "--motion-damping", "--zoom-alpha")))).when(r == 1, F.array(*map(F.lit, ("--max-step-x", "--motion-damping")))).otherwise(F.array(F.lit("--output")))
+    r, many = F.col("run") % 4, lambda *names: F.array(*map(F.lit, names))
+    given = F.when(r == 0, many("--motion-response", "--motion-damping", "--zoom-alpha")).when(r == 1, many("--max-step-x", "--motion-damping")).when(r == 2, many("--saliency-trust-repo", "--max-missed-frames", "--input")).otherwise(many("--output"))
     return t.read("orders").select(F.col("o_orderkey").alias("run")).select("run", F.concat_ws(",", modern(given)).alias("flags"))
 
 
-def device(asked: Column, gpus: Column) -> Column:
-    """A device as it is named: cpu; the first GPU for auto where there is one; cuda:N; null for what is not there or no name."""
+def device(asked: Column, gpus: Column, mps: Column) -> Column:
+    """A device as it is named, and why it is refused: struct of device and fault, one of which is null.
+
+    cpu; the first GPU for auto where there is one, else cpu; mps where there is such; cuda, cuda:N or N as cuda:N.  What is named but not there is
+    refused, and never becomes the CPU.
+    """
     name = F.lower(F.trim(asked))
     index = F.when(name == "cuda", "0").otherwise(F.regexp_replace(name, "^cuda:", ""))
-    number = F.when(index.rlike("^[0-9]+$"), index.try_cast("long"))
-    return F.when(name == "cpu", "cpu").when(name == "auto", F.when(gpus > 0, "cuda:0").otherwise("cpu")).when(number < gpus, F.concat(F.lit("cuda:"), number.cast("string")))
+    known = index.rlike(r"^[0-9]+\z")
+    number = F.when(known, index.try_cast("long"))
+    there = number < gpus
+    found = F.when(name == "cpu", "cpu").when(name == "auto", F.when(gpus > 0, "cuda:0").otherwise("cpu")).when(name == "mps", F.when(mps, "mps")).when(there, F.concat(F.lit("cuda:"), number.cast("string")))
+    fault = F.when(found.isNotNull(), None).when((name == "mps") | F.coalesce(known, F.lit(False)), "unavailable").otherwise("unknown")
+    return F.struct(found.alias("device"), fault.alias("fault"))
 
 
-@query("prj_device", "SELECT run, CASE run % 6 WHEN 0 THEN 'cpu' WHEN 1 THEN CASE WHEN run % 4 > 0 THEN 'cuda:0' ELSE 'cpu' END WHEN 2 THEN CASE WHEN run % 4 > 0 THEN 'cuda:0' END WHEN 3 THEN CASE WHEN run % 4 > 2 THEN 'cuda:2' END WHEN 4 THEN CASE WHEN run % 4 > 1 THEN 'cuda:1' END END AS device FROM (SELECT o_orderkey AS run FROM orders)")
+@query("prj_device", """SELECT run, device, CASE WHEN device IS NULL THEN CASE run % 7 WHEN 5 THEN 'unknown' ELSE 'unavailable' END END AS fault FROM (SELECT run, CASE run % 7 WHEN 0 THEN 'cpu' WHEN 1 THEN CASE WHEN run % 4 > 0 THEN 'cuda:0' ELSE 'cpu' END WHEN 2 THEN CASE WHEN run % 4 > 0 THEN 'cuda:0' END WHEN 3 THEN CASE WHEN run % 4 > 2 THEN 'cuda:2' END WHEN 4 THEN CASE WHEN run % 4 > 1 THEN 'cuda:1' END WHEN 6 THEN CASE WHEN run % 3 = 0 THEN 'mps' END END AS device FROM (SELECT o_orderkey AS run FROM orders))""")
 def prj_device(t: Tables) -> DataFrame:
-    asked = F.element_at(F.array(*map(F.lit, (" CPU", "auto", "cuda", "cuda:2", "1", "gpu"))), (F.col("run") % 6 + 1).cast("int"))
-    return t.read("orders").select(F.col("o_orderkey").alias("run")).select("run", device(asked, F.col("run") % 4).alias("device"))
-
-
-def rule_faults(settings: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Settings rows (run, ...) and the names of the rules that they break; a rule that is null is broken."""
-    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
-    return settings.select("run", F.explode(broken).alias("rule"))
-
-
-@query("flt_config_rules", "SELECT run, rule FROM (SELECT o_orderkey AS run, CAST(o_orderkey % 7 AS DOUBLE) / 2 AS zoom, o_orderkey % 5 AS gap FROM orders), (VALUES ('zoom'), ('zooms'), ('gap')) r(rule) WHERE (rule = 'zoom' AND zoom < 1) OR (rule = 'zooms' AND zoom > 2) OR (rule = 'gap' AND gap < 1)")
-def flt_config_rules(t: Tables) -> DataFrame:
-    s = t.read("orders").select(F.col("o_orderkey").alias("run"), ((F.col("o_orderkey") % 7).cast("double") / 2).alias("zoom"), (F.col("o_orderkey") % 5).alias("gap"))
-    return rule_faults(s, {"zoom": F.col("zoom") >= 1, "zooms": F.col("zoom") <= 2, "gap": F.col("gap") >= 1})
+    asked = F.element_at(F.array(*map(F.lit, (" CPU", "auto", "cuda", "cuda:2", "1", "gpu", "MPS"))), (F.col("run") % 7 + 1).cast("int"))
+    return t.read("orders").select(F.col("o_orderkey").alias("run")).select("run", device(asked, F.col("run") % 4, F.col("run") % 3 == 0).alias("d")).select("run", "d.device", "d.fault")
 
 
 def crop_rect(cx: Column, cy: Column, cw: Column, ch: Column, w: int, h: int) -> dict[str, Column]:
