@@ -202,3 +202,92 @@ def trk_predict(t: Tables) -> DataFrame:
     d = sights(t).withColumn("rows", F.transform(known, lambda x: x["row"])).withColumn("next", carried(tracks, moves, relief, middles))
     d = d.filter("next IS NOT NULL").select("vec_id", F.inline(F.arrays_zip("rows", "next")))
     return d.select("vec_id", F.col("rows").alias("j"), q6(F.col("next.box.x1")).alias("x1"), q6(F.col("next.box.y2")).alias("y2"), q6(F.col("next.trust")).alias("trust_q"), q6(F.col("next.mask.top")).alias("top"))
+
+
+# Which look at the picture a frame gets.
+
+
+@dataclass
+class Tier:
+    """What the router knows of a video: the frame before, steady frames so far, the tier, the last call of the network and what it left."""
+
+    frame: int | None = None
+    ts: float = 0.0
+    scene: int = 0
+    stable: int = 0
+    cheap: int = 0
+    tier: str | None = None
+    asked: int | None = None
+    cached: float | None = None
+
+
+def route(s: Tier, row: dict, interval: int, oldest: float) -> tuple[Tier, tuple]:
+    known = s.frame is not None
+    if known and (row["scene"] != s.scene or row["frame"] <= s.frame or row["ts"] < s.ts):
+        s, known = Tier(), False
+    if row["urgent"]:
+        s.stable = s.cheap = 0
+        s.cached = None
+    s.stable = s.stable + 1 if row["reliable"] and row["steady"] and known and not row["urgent"] else 0
+    s.frame, s.ts, s.scene = row["frame"], row["ts"], row["scene"]
+
+    def told(tier: str, reason: str, called: bool = False) -> tuple[Tier, tuple]:
+        changed = s.tier is not None and tier != s.tier
+        s.tier = tier
+        return s, (tier, reason, called, changed)
+
+    if s.stable >= 3:
+        return told("pose_only", "stable_reliable_pose")
+    enough = (row["reliable"] and not row["urgent"]) or row["compact"]
+    s.cheap = s.cheap + 1 if enough else 0
+    valid = s.cached is not None and 0 <= row["ts"] - s.cached < oldest and row["unchanged"]
+    if enough:
+        if s.tier == "deepgaze" and s.cheap < 3 and valid:
+            return told("deepgaze", "settling_evidence")
+        return told("handcrafted", "pose_stabilizing" if row["reliable"] else "cheap_evidence_sufficient")
+    if not row["window"]:
+        return told("handcrafted", "temporal_window")
+    if valid:
+        return told("deepgaze", "valid_neural_cache")
+    if s.asked is not None and row["frame"] - s.asked < interval and not row["urgent"]:
+        return told("handcrafted", "neural_cooldown")
+    s.asked = row["frame"]
+    if row["status"] != "predicted":
+        return told("handcrafted", row["status"], True)
+    s.cached = row["ts"]
+    return told("deepgaze", row["reason"], True)
+
+
+def tiers(frames: DataFrame, interval: int = 3, oldest: float = 0.35) -> DataFrame:
+    """video, no, tier, reason, called (the network was), changed (the tier differs from the frame before).
+
+    frames: video, no (their order), frame, ts, scene; reliable and reason (of subjects), urgent (a fresh risk), steady (subjects and picture since
+    the frame before), compact (cheap_evidence), window (enough frames for the network), unchanged (since what it left last), status
+    (predicted, or why the network gave nothing).  Three steady reliable frames need no look; a cheap map serves where it decides; the
+    network is called at most every `interval` frames but for fresh risks, and what it left counts for `oldest` seconds.
+    """
+    return fold(frames, ["video"], ["no"], "tier string, reason string, called boolean, changed boolean", Tier, lambda s, row: route(s, row, interval, oldest))
+
+
+@query(
+    "sal_tier",
+    TRACKS.replace("WITH fr", "WITH RECURSIVE fr", 1)
+    + """, rows AS MATERIALIZED (SELECT video, f, f - CASE WHEN f % 21 = 0 THEN 2 ELSE 0 END AS frame, f / 30 AS ts, f // 40 AS scene, vec_id % 5 > 1 AS reliable, vec_id % 11 > 0 AS steady, vec_id % 19 = 0 AS urgent, vec_id % 7 = 0 AS compact, f > 4 AS win, vec_id % 4 > 0 AS unchanged, CASE WHEN vec_id % 6 = 1 THEN 'disabled' ELSE 'predicted' END AS status, CASE vec_id % 3 WHEN 0 THEN 'ambiguous_subjects' WHEN 1 THEN 'competing_person' ELSE 'no_person_pose' END AS subject FROM fr),
+run AS (SELECT DISTINCT video, CAST(0 AS BIGINT) AS f, CAST(NULL AS BIGINT) AS frame, 0.0::DOUBLE AS ts, CAST(0 AS BIGINT) AS scene, 0 AS stable, 0 AS cheap, CAST(NULL AS VARCHAR) AS tier, CAST(NULL AS BIGINT) AS deep, CAST(NULL AS DOUBLE) AS cache, CAST(NULL AS VARCHAR) AS why, false AS called, false AS changed FROM fr
+UNION ALL SELECT video, f, frame, ts, scene, stable, cheap, tier, CASE WHEN called THEN frame ELSE deep END, CASE WHEN called AND status = 'predicted' THEN ts ELSE cache END, why, called, tier IS DISTINCT FROM before AND before IS NOT NULL
+FROM (SELECT * REPLACE (CASE WHEN pose THEN 'pose_only' WHEN why IN ('settling_evidence', 'valid_neural_cache') OR (called AND status = 'predicted') THEN 'deepgaze' ELSE 'handcrafted' END AS tier), tier AS before
+FROM (SELECT *, NOT pose AND NOT enough AND win AND NOT valid AND NOT cooling AS called, CASE WHEN pose THEN 'stable_reliable_pose' WHEN enough THEN CASE WHEN tier = 'deepgaze' AND cheap < 3 AND valid THEN 'settling_evidence' WHEN reliable THEN 'pose_stabilizing' ELSE 'cheap_evidence_sufficient' END WHEN NOT win THEN 'temporal_window' WHEN valid THEN 'valid_neural_cache' WHEN cooling THEN 'neural_cooldown' WHEN status <> 'predicted' THEN status ELSE subject END AS why
+FROM (SELECT * REPLACE (CASE WHEN stable >= 3 THEN cheap WHEN enough THEN cheap + 1 ELSE 0 END AS cheap), stable >= 3 AS pose, coalesce(cache IS NOT NULL AND ts - cache >= 0 AND ts - cache < 0.35::DOUBLE AND unchanged, false) AS valid, coalesce(frame - deep < 3 AND NOT urgent, false) AS cooling
+FROM (SELECT n.*, CASE WHEN n.reliable AND n.steady AND NOT n.urgent AND r.frame IS NOT NULL AND NOT fresh THEN r.stable + 1 ELSE 0 END AS stable, CASE WHEN fresh OR n.urgent THEN 0 ELSE r.cheap END AS cheap, CASE WHEN NOT fresh THEN r.tier END AS tier, CASE WHEN NOT fresh THEN r.deep END AS deep, CASE WHEN NOT fresh AND NOT n.urgent THEN r.cache END AS cache, (n.reliable AND NOT n.urgent) OR n.compact AS enough
+FROM (SELECT r.*, m.f AS nf, r.frame IS NOT NULL AND (m.scene <> r.scene OR m.frame <= r.frame OR m.ts < r.ts) AS fresh FROM run r JOIN rows m ON m.video = r.video AND m.f = r.f + 1) r JOIN rows n ON n.video = r.video AND n.f = r.nf)))))
+SELECT video, f AS no, tier, why AS reason, called, changed FROM run WHERE f > 0""",
+)
+def sal_tier(t: Tables) -> DataFrame:
+    n, f = F.col("vec_id"), F.col("no")
+    d = sights(t).withColumnRenamed("frame", "no")
+    subject = F.when(n % 3 == 0, "ambiguous_subjects").when(n % 3 == 1, "competing_person").otherwise("no_person_pose")
+    d = d.select(
+        "video", "no", (f - F.when(f % 21 == 0, 2).otherwise(0)).alias("frame"), (f / 30).alias("ts"), F.floor(f / 40).alias("scene"), (n % 5 > 1).alias("reliable"), (n % 11 > 0).alias("steady"), (n % 19 == 0).alias("urgent"), (n % 7 == 0).alias("compact"), (f > 4).alias("window"),
+        (n % 4 > 0).alias("unchanged"), F.when(n % 6 == 1, "disabled").otherwise("predicted").alias("status"), subject.alias("reason"),
+    )
+    return tiers(d)

@@ -135,3 +135,25 @@ def test_schedule():
     assert walk([{}] * quiet + [{"pose": "weak_fresh"}, {}])[quiet + 1][:2] == (True, "weak_primary_pose")
     assert {i for _, _, i in walk([{"extendable": False}] * 60)} == {1, 2, 3} and walk([{"tracks": []}] * 3)[2] == (True, "no_tracks", 1)
     assert max(i for _, _, i in walk([{}] * 60, oldest=0.1)) == 3
+
+
+def routed(rows, interval=3):
+    state, out = scheduler.Tier(), []
+    for k, row in enumerate(rows, 1):
+        usual = {"frame": k, "ts": k / 30, "scene": 0, "reliable": False, "steady": True, "urgent": False, "compact": False, "window": True, "unchanged": True, "status": "predicted", "reason": "ambiguous_subjects"}
+        state, told = scheduler.route(state, usual | row, interval, 0.35)
+        out.append(told[:2])
+    return out
+
+
+def test_tiers():
+    """Every outcome: reliable and steady needs no look, cheap maps come before the network, whose map is kept, settles and cools down."""
+    good = {"reliable": True}
+    assert routed([good] * 4) == [("handcrafted", "pose_stabilizing")] * 3 + [("pose_only", "stable_reliable_pose")]
+    assert routed([good] * 4 + [good | {"steady": False}, good | {"urgent": True}])[4:] == [("handcrafted", "pose_stabilizing"), ("deepgaze", "ambiguous_subjects")]
+    assert routed([{"compact": True}]) == [("handcrafted", "cheap_evidence_sufficient")] and routed([{"window": False}]) == [("handcrafted", "temporal_window")]
+    assert routed([{}, {}, {"unchanged": False}, {"unchanged": False}]) == [("deepgaze", "ambiguous_subjects"), ("deepgaze", "valid_neural_cache"), ("handcrafted", "neural_cooldown"), ("deepgaze", "ambiguous_subjects")]
+    assert routed([{}, {"compact": True}, {"compact": True}, {"compact": True}])[1:] == [("deepgaze", "settling_evidence")] * 2 + [("handcrafted", "cheap_evidence_sufficient")]
+    assert routed([{"status": "failed"}, {}, {"urgent": True}]) == [("handcrafted", "failed"), ("handcrafted", "neural_cooldown"), ("deepgaze", "ambiguous_subjects")]
+    assert routed([{}] * 11 + [{"ts": 13 / 30}])[11] == ("deepgaze", "ambiguous_subjects")  # too old
+    assert routed([good] * 4 + [good | {"scene": 1}])[4] == ("handcrafted", "pose_stabilizing") and routed([{}, {"frame": 1}])[1] == ("deepgaze", "ambiguous_subjects")
